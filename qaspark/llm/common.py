@@ -72,6 +72,7 @@ def hex_sha(binary_or_text: Column) -> Column:
 
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95))
+_ALL = (1 << 64) - 1
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
 
@@ -104,7 +105,7 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
         filled = 1
         while filled < len(have):
             step = min(filled, len(have) - filled)
-            have[filled : filled + step] = have[:step] * (have[filled - 1] * base)
+            have[filled : filled + step] = have[:step] * np.uint64(int(have[filled - 1]) * int(base) & _ALL)
             filled += step
         if len(have) == BLOCK + 1:
             _POWERS[int(base)] = have
