@@ -116,7 +116,7 @@ FROM l LEFT JOIN k ON l.doc_id = k.doc_id"""
 
 
 def op6_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marked = syncmers.with_next(syncmers.fingerprints(documents(spark, sf_dir)))
+    marked = syncmers.with_next(documents(spark, sf_dir))
     marked = marked.withColumn("edited", syncmers.edited(F.col("text"), F.col("next_text")))
     marked = syncmers.with_fingerprint(syncmers.with_hashes(marked, F.col("edited"), "edited_words"), "edited_words", "edited_sketch")
     return marked.select(

@@ -61,36 +61,36 @@ def as_string(sketch: Column) -> Column:
     return F.array_join(F.transform(sketch, lambda x: F.lpad(F.hex(x), 16, "0")), "")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text, sketch) of every document."""
-    read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return with_fingerprint(with_hashes(read, F.col("text"), "words"), "words", "sketch").drop("words")
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """Add the sketch of `text` to (doc_id, text, ...)."""
+    return with_fingerprint(with_hashes(docs, F.col("text"), "words"), "words", "sketch").drop("words")
 
 
-def with_next(marked: DataFrame, ranges: int | None = None) -> DataFrame:
-    """Add next_text and next_sketch: those of the row that follows by descending doc_id, after the last the first.
+def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranges: int | None = None) -> DataFrame:
+    """(doc_id, text, sketch, next_text, next_sketch): next is the document that follows by descending
+    doc_id, after the last the first.
 
     Rows are dealt by ranges of doc_id between quantiles; within a range a window finds the successor.
     The last of each range takes the first of the next range that has rows: one row for each range.
     """
-    ids = marked.filter(F.col("doc_id").isNotNull())
+    read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    ids = read.filter(F.col("doc_id").isNotNull())
     ranges = ranges or min(MOST_RANGES, max(LEAST_RANGES, ids.count() // ROWS_A_RANGE))
     bounds = ids.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)] or [0.5], 10 * ranges)).first()[0] or []
     bounds = sorted(set(bounds))
     place = F.when(F.col("doc_id").isNull(), -1).otherwise(width_bucket(F.col("doc_id"), bounds))
-    dealt = marked.withColumn("part", place.cast("int"))
-    order = [F.col("doc_id").desc_nulls_last(), F.col("text")]
-    inside = Window.partitionBy("part").orderBy(*order)
-    follows = dealt.withColumn("_next", F.lead(F.struct("text", "sketch")).over(inside))
-    top = F.struct(F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("id"))
-    heads = dealt.groupBy("part").agg(F.max(top).alias("top"))
-    heads = dealt.alias("d").join(F.broadcast(heads.alias("h")), (F.col("d.part") == F.col("h.part")) & (F.coalesce(F.col("d.doc_id"), F.lit(-(1 << 63))) == F.col("h.top.id")))
-    heads = heads.groupBy("d.part").agg(F.min_by(F.struct("text", "sketch"), "text").alias("head"))
+    dealt = read.withColumn("part", place.cast("int"))
+    lowest = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
+    tops = dealt.groupBy("part").agg(F.max(lowest).alias("top"))  # at most MOST_RANGES + 1 rows
+    heads = dealt.withColumn("top", lowest).join(F.broadcast(tops), ["part", "top"])
+    heads = fingerprints(heads.groupBy("part").agg(F.min("text").alias("text")))
     ring = Window.orderBy(F.col("part").desc())
-    after = heads.select(F.col("part"), F.coalesce(F.lead("head").over(ring), F.first("head").over(ring)).alias("after"))
-    joined = follows.join(after, "part")
+    head = F.struct("text", "sketch")
+    after = heads.select("part", F.coalesce(F.lead(head).over(ring), F.first(head).over(ring)).alias("after"))
+    inside = Window.partitionBy("part").orderBy(F.col("doc_id").desc_nulls_last(), F.col("text"))
+    follows = fingerprints(dealt).withColumn("_next", F.lead(head).over(inside))
     nxt = F.coalesce("_next", "after")
-    return joined.select("doc_id", "text", "sketch", nxt["text"].alias("next_text"), nxt["sketch"].alias("next_sketch"))
+    return follows.join(after, "part").select("doc_id", "text", "sketch", nxt["text"].alias("next_text"), nxt["sketch"].alias("next_sketch"))
 
 
 def width_bucket(value: Column, bounds: list) -> Column:
