@@ -18,7 +18,7 @@ from .common import in_batches, mix, text_buffer
 
 NULL_ID = (1 << 63) - 1
 #: Bytes of text for each doc bucket and each window bucket, and for each slice that a worker hashes at once.
-BUCKET_BYTES, SLICE_BYTES = 4 << 20, 16 << 20
+BUCKET_BYTES, SLICE_BYTES = 4 << 20, 5 << 20
 LEAST_BUCKETS, MOST_BUCKETS = 64, 1 << 16
 
 
