@@ -8,8 +8,9 @@ differ by few counts.
    must agree, else an error is raised.
 2. The tree's upper levels are equal blocks of coordinates: in a class of sizes the point is cut into more
    blocks than linked documents can differ in, so they share a block, counts and all. Blocks are named by a
-   hash of their counts and meet in a shuffle; the documents of a block get one candidate link each (to the
-   first), never a pair for any two. Components of candidates hold every pair that can be linked.
+   hash of their counts and meet in a shuffle. The documents that share a block (each set of documents once)
+   are searched breadth first: those whose bound of the overlap allows a link are connected by one candidate
+   link each, never by a pair for any two. Components of candidates hold every pair that can be linked.
 3. Within components, points are packed into leaves by size; leaves with sizes that can match are joined,
    small components many to a task, large ones leaf by leaf in blocks. A tree of boxes bounds the overlap
    of a point and a box, then of two points; what survives is verified on the sets of shingle hashes (64
@@ -32,8 +33,10 @@ from .common import in_batches, materialize
 from .components import components
 
 SHINGLE, PERCENT = 4, 85
-#: Coordinates of a point, points of a box, nodes of a leaf.
-GROUPS, BOX, LEAF = 128, 32, 1024
+#: Coordinates of a point: one for SPARSE shingles, a power of two within these limits.
+LEAST_GROUPS, MOST_GROUPS, SPARSE = 32, 1 << 14, 8
+#: Points of a box, nodes of a leaf, rows of shared blocks that one task searches.
+BOX, LEAF, SEARCHED = 32, 1024, 1 << 14
 #: Ways to cut points into blocks that are tried before a document goes to the block of those without.
 SEEDS = 4
 _SALT = np.uint64(0xA0761D6478BD642F)
@@ -146,13 +149,21 @@ def _cut(h, first, live, classes, seed, percent):
     return live[owner], slots - start[owner], counts[slots], np.bincount(owner, minlength=len(live)), apart
 
 
-def points(h: np.ndarray, first: np.ndarray, groups: int = GROUPS) -> np.ndarray:
-    """Each row's counts by group."""
+def groups_for(size: int) -> int:
+    """How many coordinates the point of a set of so many shingles has."""
+    return min(MOST_GROUPS, max(LEAST_GROUPS, 1 << (max(1, int(size) // SPARSE) - 1).bit_length()))
+
+
+def point(h: np.ndarray, groups: int) -> np.ndarray:
+    """A set's counts by group; with half the groups, the counts of two groups add up."""
     from .common import mix
 
-    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    slot = row * groups + (mix(h) % np.uint64(groups)).astype(np.int64)
-    return np.bincount(slot, minlength=(len(first) - 1) * groups).reshape(-1, groups).astype(np.int32)
+    return np.bincount((mix(h) & np.uint64(groups - 1)).astype(np.int64), minlength=groups).astype(np.int32)
+
+
+def folded(counts: np.ndarray, groups: int) -> np.ndarray:
+    """Points (row by row) with fewer coordinates."""
+    return counts.reshape(len(counts), -1, groups).sum(1)
 
 
 # ---- the tree ---------------------------------------------------------------------------
@@ -214,11 +225,45 @@ def forest(sets: list[np.ndarray], counts: np.ndarray, sides: np.ndarray, percen
     return out
 
 
+def can_link(counts: np.ndarray, sizes: np.ndarray, others: np.ndarray, other_sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Whether the sum of coordinate minima allows rows to be linked with other rows."""
+    return (100 + percent) * np.minimum(counts, others).sum(-1) >= percent * (sizes + other_sizes)
+
+
+def pairs_can_link(points: list[bytes], sizes: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """`can_link` for many pairs of rows, whose points are bytes; pairs of points of equal lengths at once."""
+    out = (100 * np.minimum(sizes[a], sizes[b]) >= percent * np.maximum(sizes[a], sizes[b]))
+    lengths = np.array([len(p) // 2 for p in points], np.int64)
+    for key in np.unique(lengths[a[out]] << 32 | lengths[b[out]]).tolist():
+        n, m = key >> 32, key & 0xFFFFFFFF
+        at = np.flatnonzero(out & (lengths[a] == n) & (lengths[b] == m))
+        for k in np.array_split(at, len(at) * max(n, m) // (1 << 20) + 1):
+            one, other = (np.frombuffer(b"".join([points[j] for j in x[k].tolist()]), "<u2").reshape(len(k), -1).astype(np.int32) for x in (a, b))
+            out[k] = can_link(folded(one, min(n, m)), sizes[a[k]], folded(other, min(n, m)), sizes[b[k]], percent)
+    return out
+
+
+def reachable(counts: np.ndarray, sizes: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Breadth first through the pairs whose bound allows a link: one pair for each row that is reached."""
+    left, out = np.arange(len(sizes)), []
+    while len(left):
+        queue, left = [int(left[0])], left[1:]
+        while queue and len(left):
+            i = queue.pop()
+            fits = left[(100 * sizes[left] >= percent * sizes[i]) & (percent * sizes[left] <= 100 * sizes[i])]
+            fits = fits[can_link(counts[fits], sizes[fits], counts[i], sizes[i], percent)] if len(fits) else fits
+            if len(fits):
+                out += [(i, j) for j in fits.tolist()]
+                queue += fits.tolist()
+                left = left[~np.isin(left, fits, assume_unique=True)]
+    return out
+
+
 # ---- Spark stages -----------------------------------------------------------------------
 
 
 def classes_of(named: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, tag, node, check, n) of each document; null ids as NULL_ID."""
+    """(doc_id, tag, node, check, n, point) of each document; null ids as NULL_ID."""
 
     def measured(batches):
         import pyarrow as pa
@@ -228,13 +273,15 @@ def classes_of(named: DataFrame, shingle: int) -> DataFrame:
         for ids, tags, data, offsets in blocks.slices(batches):
             h, first = jaccard.shingle_sets(data, offsets, shingle)
             node, check = jaccard.set_names(h, first)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids, tags, node, check, np.diff(first).astype(np.int64))], ["doc_id", "tag", "node", "check", "n"])
+            size = np.diff(first).astype(np.int64)
+            at = [jaccard.point(h[a:b], jaccard.groups_for(b - a)).astype("<u2").tobytes() if b > a else b"" for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, (ids, tags, node, check, size)), pa.array(at, pa.binary())], ["doc_id", "tag", "node", "check", "n", "point"])
 
-    return in_batches(named, measured, "doc_id long, tag long, node long, check long, n long")
+    return in_batches(named, measured, "doc_id long, tag long, node long, check long, n long, point binary")
 
 
-def candidate_links(named: DataFrame, shingle: int, percent: int, bits: int) -> DataFrame:
-    """(a, b): nodes that share a block, each with the first node of the block."""
+def shared_blocks(named: DataFrame, shingle: int, percent: int, bits: int) -> DataFrame:
+    """(shared, node): the nodes of each block that several have; blocks of equal nodes once."""
 
     def cut(batches):
         import pyarrow as pa
@@ -264,11 +311,52 @@ def candidate_links(named: DataFrame, shingle: int, percent: int, bits: int) ->
         order = np.lexsort((node, name))
         name, node = name[order], node[order]
         starts = blocks.run_starts(name)
-        first = node[np.repeat(starts, np.diff(np.append(starts, len(name))))]
-        pairs = np.unique(np.stack([first, node], 1)[node != first], axis=0)
+        new = np.ones(len(name), bool)
+        new[1:] = (name[1:] != name[:-1]) | (node[1:] != node[:-1])  # a set comes from several slices
+        name, node = name[new], node[new]
+        starts = blocks.run_starts(name)
+        size = np.diff(np.append(starts, len(name)))
+        several = np.repeat(size > 1, size)
+        node, size = node[several], size[size > 1]
+        starts = np.cumsum(size) - size
+        shared = np.add.reduceat(blocks.spread(node), starts) if len(starts) else np.zeros(0, np.uint64)
+        _, once = np.unique(shared, return_index=True)
+        keep = np.zeros(len(starts), bool)
+        keep[once] = True
+        return pa.table({"shared": pa.array(np.repeat(shared[keep].view(np.int64), size[keep])), "node": pa.array(node[np.repeat(keep, size)])})
+
+    return in_batches(named, cut, "bucket int, block binary").groupBy("bucket").applyInArrow(meet, "shared long, node long").distinct()
+
+
+def candidate_links(shared: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(a, b): candidate links that connect all nodes of a shared block that can be linked."""
+    shared = materialize(shared)
+    tasks = max(64, shared.count() // SEARCHED) | 1
+
+    def searched(table):
+        import pyarrow as pa
+
+        from qaspark.llm import blocks, jaccard
+
+        name, node, size = (np.asarray(table.column(c).combine_chunks()) for c in ("shared", "node", "n"))
+        point = table.column("point").to_pylist()
+        order = np.argsort(name, kind="stable")
+        starts = blocks.run_starts(name[order])
+        length = np.diff(np.append(starts, len(order)))
+        one, other = order[starts[length == 2]], order[starts[length == 2] + 1]
+        out = [np.stack([node[one], node[other]], 1)[jaccard.pairs_can_link(point, size, one, other, percent)]]
+        for a, n in zip(starts[length > 2].tolist(), length[length > 2].tolist(), strict=True):
+            k = order[a : a + n]
+            rows = [np.frombuffer(point[j], "<u2").astype(np.int32) for j in k.tolist()]
+            groups = min(map(len, rows))
+            counts = np.concatenate([jaccard.folded(r[None], groups) for r in rows])
+            found = np.array(jaccard.reachable(counts, size[k], percent), np.int64).reshape(-1, 2)
+            out.append(node[k[found]])
+        pairs = np.unique(np.concatenate(out), axis=0)
         return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
 
-    return in_batches(named, cut, "bucket int, block binary").groupBy("bucket").applyInArrow(meet, "a long, b long")
+    dealt = shared.join(nodes.select("node", "n", "point"), "node").withColumn("task", F.pmod(F.xxhash64("shared"), F.lit(tasks)))
+    return dealt.groupBy("task").applyInArrow(searched, "a long, b long")
 
 
 def taken(h: np.ndarray, first: np.ndarray, node: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -335,7 +423,8 @@ def verified_links(packed: DataFrame, placed: DataFrame, shingle: int, percent:
         out = []
         for _, k in blocks.by_bucket(np.unique(component, return_inverse=True)[1]):
             mine = [sets[j] for j in k.tolist()]
-            counts = jaccard.points(np.concatenate(mine), np.concatenate([[0], np.cumsum([len(s) for s in mine])]))
+            groups = jaccard.groups_for(max(map(len, mine)))
+            counts = np.stack([jaccard.point(x, groups) for x in mine])
             out += [(int(node[k[i]]), int(node[k[j]])) for i, j in jaccard.forest(mine, counts, side[k], percent)]
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
 
@@ -353,11 +442,12 @@ def join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col
     bits, buckets = window_bits(total), doc_buckets(total)
     named = named_documents(docs, id_col, text_col)
     measured = materialize(classes_of(named, shingle))
-    nodes = materialize(measured.filter("n > 0").groupBy("node").agg(F.min(F.struct("doc_id", "tag")).alias("first"), F.max("n").alias("n"), (F.min("check") != F.max("check")).alias("clash")))
+    nodes = materialize(measured.filter("n > 0").groupBy("node").agg(F.min(F.struct("doc_id", "tag")).alias("first"), F.max("n").alias("n"), F.first("point").alias("point"), (F.min("check") != F.max("check")).alias("clash")))
     if not nodes.filter("clash").isEmpty():
         raise RuntimeError("two sets of shingles have one 64-bit name")
-    nodes = nodes.select("node", "first.doc_id", "first.tag", "n")
-    found = candidate_links(named, shingle, percent, bits)
+    nodes = nodes.select("node", "first.doc_id", "first.tag", "n", "point")
+    found = candidate_links(shared_blocks(named, shingle, percent, bits), nodes, percent)
+    nodes = nodes.drop("point")
     candidates = components(found).select("node", F.col("label").alias("component"))
     placed = materialize(units(candidates, nodes, percent, buckets))
     links = materialize(verified_links(packed_documents(named, buckets), placed, shingle, percent))
