@@ -38,8 +38,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in training order, as often as their source's target takes them."""
-    mixed = curriculum.mix(docs.select(*COLUMNS), carry=True)
-    return curriculum.training_order(mixed).select("row.*")
+    return curriculum.mixed_rows(docs.select(*COLUMNS))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

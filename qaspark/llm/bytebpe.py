@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import in_batches
 
 #: Pre-tokens kept with their ids; the cache is emptied when full, or over so many bytes.
-CACHE, LONGEST_CACHED = 1 << 18, 64
+CACHE, LONGEST_CACHED = 1 << 17, 64
 
 
 def byte_characters() -> list[str]:

@@ -55,17 +55,16 @@ def position(offset: Column, demand: Column, slope: Column) -> Column:
     return F.when(slope == 0, q).otherwise((root - (1 - slope)) / (2 * slope))
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, slopes: Sequence[float] = SLOPES, factor: float = FACTOR, cap: float = CAP, seed: str = "mix", bucket_digits: int = BUCKET_DIGITS, id_col: str = "doc_id", carry: bool = False) -> DataFrame:
+def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, slopes: Sequence[float] = SLOPES, factor: float = FACTOR, cap: float = CAP, seed: str = "mix", bucket_digits: int = BUCKET_DIGITS, id_col: str = "doc_id", more: Sequence[str] = ()) -> DataFrame:
     """One row per document: its size, its source's target, the words taken and where in training.
 
     Within a source documents stand in hash order; passes over the source follow one another until
     its target is used up, so `taken` is up to `cap` sizes and one document per source may be cut.
     Columns: doc_id, source, size, source_size, weight, slope, target, demand, start (tokens of the source
-    before the document), taken, key (the hash that orders them), position (of its first token; null if none);
-    with `carry`, the whole input row as the struct `row`.
+    before the document), taken, key (the hash that orders them), position (of its first token; null if none),
+    and the columns of `more`.
     """
-    row = [F.struct(*docs.columns).alias("row")] if carry else []
-    slim = materialize(docs.select(F.col(id_col).alias("doc_id"), "source", word_count(F.col("text")).alias("size"), *row))
+    slim = materialize(docs.select(F.col(id_col).alias("doc_id"), "source", word_count(F.col("text")).alias("size"), *more))
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     keyed = slim.withColumn("key", key).withColumn("bucket", F.substring("key", 1, bucket_digits))
     targets = source_targets(slim, weights, slopes, factor, cap)
@@ -76,7 +75,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, slopes: Sequence[fl
     within = Window.partitionBy("k.source", "k.bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = keyed.alias("k").join(table.alias("b"), F.col("k.source").eqNullSafe(F.col("b.source")) & (F.col("k.bucket") == F.col("b.bucket")))
     start = F.col("bucket_start") + F.coalesce(F.sum("size").over(within), F.lit(0))
-    placed = placed.select("doc_id", "k.source", "size", "source_size", "weight", "slope", "target", F.floor(F.col("target") + 0.5).cast("long").alias("demand"), start.cast("long").alias("start"), "key", *(["row"] if carry else []))
+    placed = placed.select("doc_id", "k.source", "size", "source_size", "weight", "slope", "target", F.floor(F.col("target") + 0.5).cast("long").alias("demand"), start.cast("long").alias("start"), "key", *more)
     return placed.withColumn("taken", taken(cap)).withColumn("position", F.when(F.col("taken") > 0, position(F.col("start"), F.col("demand"), F.col("slope"))))
 
 
@@ -95,3 +94,14 @@ def training_order(mixed: DataFrame, cap: float = CAP) -> DataFrame:
     offset = F.col("pass") * F.col("source_size") + F.col("start")
     each = each.filter((F.col("size") > 0) & (2 * (F.col("demand") - offset) >= F.col("size")))
     return each.withColumn("position", position(offset, F.col("demand"), F.col("slope"))).orderBy("position", "key", "doc_id", "pass")
+
+
+def mixed_rows(docs: DataFrame, cap: float = CAP, **options) -> DataFrame:
+    """The rows of `docs` in training order, as often as they are taken whole (`training_order`).
+
+    Rows are numbered in a table; only numbers and sizes are mixed, then the rows join their positions.
+    """
+    table = materialize(docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("number")))
+    slim = table.select(F.col("row.doc_id").alias("doc_id"), F.col("row.source").alias("source"), F.col("row.text").alias("text"), "number")
+    places = materialize(training_order(mix(slim, cap=cap, more=("number",), **options), cap).select("number", "pass", "position", "key"))
+    return table.join(places, "number").orderBy("position", "key", "number", "pass").select("row.*")

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .blocks import NULL_ID, doc_buckets, named_documents, packed_documents, text_bytes, window_bits
 from .common import in_batches, materialize
-from .components import components
+from .components import components, stars
 
 SHINGLE, PERCENT = 4, 85
 #: Coordinates of a point: one for SPARSE shingles, a power of two within these limits.
@@ -329,7 +329,7 @@ def shared_blocks(named: DataFrame, shingle: int, percent: int, bits: int) -> Da
 
 
 def candidate_links(shared: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """(a, b): candidate links that connect all nodes of a shared block that can be linked."""
+    """(a, b): what connects all nodes of a shared block that can be linked, as stars."""
     shared = materialize(shared)
     tasks = max(64, shared.count() // SEARCHED) | 1
 
@@ -340,7 +340,7 @@ def candidate_links(shared: DataFrame, nodes: DataFrame, percent: int) -> DataFr
 
         name, node, size = (np.asarray(table.column(c).combine_chunks()) for c in ("shared", "node", "n"))
         point = table.column("point").to_pylist()
-        order = np.argsort(name, kind="stable")
+        order = np.lexsort((node, name))
         starts = blocks.run_starts(name[order])
         length = np.diff(np.append(starts, len(order)))
         one, other = order[starts[length == 2]], order[starts[length == 2] + 1]
@@ -352,11 +352,11 @@ def candidate_links(shared: DataFrame, nodes: DataFrame, percent: int) -> DataFr
             counts = np.concatenate([jaccard.folded(r[None], groups) for r in rows])
             found = np.array(jaccard.reachable(counts, size[k], percent), np.int64).reshape(-1, 2)
             out.append(node[k[found]])
-        pairs = np.unique(np.concatenate(out), axis=0)
+        pairs = stars(np.concatenate(out))  # tasks that see the same component send the same pairs
         return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
 
     dealt = shared.join(nodes.select("node", "n", "point"), "node").withColumn("task", F.pmod(F.xxhash64("shared"), F.lit(tasks)))
-    return dealt.groupBy("task").applyInArrow(searched, "a long, b long")
+    return dealt.groupBy("task").applyInArrow(searched, "a long, b long").distinct()
 
 
 def taken(h: np.ndarray, first: np.ndarray, node: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -391,7 +391,7 @@ def units(candidates: DataFrame, nodes: DataFrame, percent: int, buckets: int) -
 
 
 def verified_links(packed: DataFrame, placed: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """(a, b): links that connect the nodes of each component as all links do."""
+    """(a, b): what connects the nodes of each component as all links do, as stars."""
 
     def sent(texts, wanted):
         import pyarrow as pa
@@ -426,7 +426,8 @@ def verified_links(packed: DataFrame, placed: DataFrame, shingle: int, percent:
             groups = jaccard.groups_for(max(map(len, mine)))
             counts = np.stack([jaccard.point(x, groups) for x in mine])
             out += [(int(node[k[i]]), int(node[k[j]])) for i, j in jaccard.forest(mine, counts, side[k], percent)]
-        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
+        pairs = stars(np.array(out, np.int64).reshape(-1, 2))
+        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
 
     blocks_ = placed.groupBy("doc_bucket").cogroup(packed.groupBy("doc_bucket")).applyInArrow(lambda w, t: sent(t, w), "unit string, block binary")
     return blocks_.groupBy("unit").applyInArrow(resolved, "a long, b long")

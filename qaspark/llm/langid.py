@@ -42,11 +42,16 @@ def letter_classes() -> np.ndarray:
 
 
 @lru_cache(2)
-def gram_vectors(dimensions: int, seed: int) -> np.ndarray:
-    """The bound vector of every letter trigram, int8: place p's letter vector is rolled by 2 - p."""
+def letter_vectors(dimensions: int, seed: int) -> list[np.ndarray]:
+    """The letters' vectors, int8, for each place of an n-gram: at place p they are rolled by ORDER - 1 - p."""
     letters = np.random.default_rng(seed).integers(0, 2, (CLASSES, dimensions), dtype=np.int8) * 2 - 1
-    a, b, c = (np.roll(letters, ORDER - 1 - p, 1) for p in range(ORDER))
-    return (a[:, None, None] * b[None, :, None] * c[None, None]).reshape(CLASSES**3, dimensions)
+    return [np.roll(letters, ORDER - 1 - p, 1) for p in range(ORDER)]
+
+
+def gram_vectors(found: np.ndarray, dimensions: int, seed: int) -> np.ndarray:
+    """The bound vectors of n-grams, one row for each."""
+    a, b, c = letter_vectors(dimensions, seed)
+    return a[found // CLASSES**2] * b[found // CLASSES % CLASSES] * c[found % CLASSES]
 
 
 def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -62,7 +67,7 @@ def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 def bundle(found: tuple[np.ndarray, np.ndarray], dimensions: int, seed: int) -> np.ndarray:
     """A text's vector; float32 sums of whole numbers."""
-    return found[1].astype(np.float32) @ gram_vectors(dimensions, seed)[found[0]].astype(np.float32)
+    return found[1].astype(np.float32) @ gram_vectors(found[0], dimensions, seed).astype(np.float32)
 
 
 class Profiles:
@@ -110,12 +115,12 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                 if lang not in counts:
                     counts[lang] = np.zeros(langid.CLASSES**3, np.int64)
                 counts[lang][found[0]] += found[1]
-        table = langid.gram_vectors(dimensions, seed)
         for lang, n in counts.items():
             used = np.flatnonzero(n)
             total = np.zeros(dimensions, np.int64)
             for at in range(0, len(used), 4096):
-                total += n[used[at : at + 4096]] @ table[used[at : at + 4096]].astype(np.int64)
+                part = used[at : at + 4096]
+                total += n[part] @ langid.gram_vectors(part, dimensions, seed).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()), pa.array([total.tolist()], pa.list_(pa.int64()))], ["lang", "sums"])
 
     parts = in_batches(labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")), bundled, "lang string, sums array<long>")
