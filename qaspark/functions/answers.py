@@ -110,7 +110,11 @@ def split_thoughts(content: Column) -> tuple[Column, Column]:
 def grams(text: Column, n: int = 4) -> Column:
     """Distinct character n-grams; a shorter text is its own gram, an empty one has none."""
     t = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " "))
-    many = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - (n - 1), F.lit(1))), lambda i: F.substring(t, i, F.lit(n))))
+    chars = F.split(t, "")
+    count = F.greatest(F.size(chars) - (n - 1), F.lit(0))
+    # zipped outside the lambda: what stands inside it is evaluated for each gram
+    zipped = F.arrays_zip(*(F.slice(chars, k + 1, count).alias(f"c{k}") for k in range(n)))
+    many = F.array_distinct(F.transform(zipped, lambda z: F.concat(*(z[f"c{k}"] for k in range(n)))))
     return F.when(F.length(t) == 0, F.array().cast("array<string>")).when(F.length(t) < n, F.array(t)).otherwise(many)
 
 

@@ -10,7 +10,8 @@ from qaspark.functions.answers import grams
 
 def gram_rows(rows: DataFrame, key: str, text: str, n: int = 4) -> DataFrame:
     """(id, gram, size): one row for each distinct gram, named by a hash."""
-    sets = rows.select(F.col(key).alias("id"), F.transform(grams(F.col(text), n), lambda g: F.xxhash64(g)).alias("grams"))
+    sets = rows.select(F.col(key).alias("id"), grams(F.col(text), n).alias("texts"))
+    sets = sets.select("id", F.transform("texts", lambda g: F.xxhash64(g)).alias("grams"))
     return sets.select("id", F.explode("grams").alias("gram"), F.size("grams").alias("size"))
 
 

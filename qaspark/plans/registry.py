@@ -187,7 +187,7 @@ def seeded_sample(spark, sf_dir):
     return S.hash_sample(table(spark, sf_dir, "orders"), F.col("o_orderkey"), 50).select("o_orderkey")
 
 
-@query("WITH c AS (SELECT conv_id, turn, text AS q, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS a, role FROM conversations), t AS (SELECT conv_id, turn, list_filter(string_split_regex(regexp_replace(lower(q), '[.,]', '', 'g'), '[ \\t\\n\\r]+'), x -> x <> '') AS q, list_filter(string_split_regex(regexp_replace(lower(a), '[.,]', '', 'g'), '[ \\t\\n\\r]+'), x -> x <> '') AS a FROM c WHERE role = 'user' AND a IS NOT NULL), s AS (SELECT conv_id, turn, len(q) AS nq, len(a) AS na, coalesce(list_sum(list_transform(list_distinct(q), x -> least(len(list_filter(q, y -> y = x)), len(list_filter(a, y -> y = x))))), 0) AS shared FROM t) SELECT conv_id, turn, round(CASE WHEN nq + na = 0 THEN 1.0 WHEN nq = 0 OR na = 0 THEN 0.0 ELSE 2.0 * shared / (nq + na) END::DOUBLE, 6) AS f1 FROM s".replace("\\\\", "\\"))
+@query("WITH c AS (SELECT conv_id, turn, text AS q, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS a, role FROM conversations), t AS (SELECT conv_id, turn, list_filter(string_split_regex(regexp_replace(lower(q), '[.,]', '', 'g'), '[ \\t\\n\\r]+'), lambda x: x <> '') AS q, list_filter(string_split_regex(regexp_replace(lower(a), '[.,]', '', 'g'), '[ \\t\\n\\r]+'), lambda x: x <> '') AS a FROM c WHERE role = 'user' AND a IS NOT NULL), s AS (SELECT conv_id, turn, len(q) AS nq, len(a) AS na, coalesce(list_sum(list_transform(list_distinct(q), lambda x: least(len(list_filter(q, lambda y: y = x)), len(list_filter(a, lambda y: y = x))))), 0) AS shared FROM t) SELECT conv_id, turn, round(CASE WHEN nq + na = 0 THEN 1.0 WHEN nq = 0 OR na = 0 THEN 0.0 ELSE 2.0 * shared / (nq + na) END::DOUBLE, 6) AS f1 FROM s".replace("\\\\", "\\"))
 def token_f1_turns(spark, sf_dir):
     from pyspark.sql import Window
 
@@ -208,7 +208,9 @@ def shuffle_seeds(spark, sf_dir):
 
 
 GRAMS = r"""n AS (SELECT k, id, trim(regexp_replace(text, '[ \t\n\r\f]+', ' ', 'g')) AS t FROM (SELECT 'd' AS k, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark)),
-g AS (SELECT DISTINCT k, id, substr(t, i::INTEGER, 4) AS g FROM (SELECT k, id, t, unnest(range(1, greatest(length(t) - 2, 2))) AS i FROM n WHERE length(t) > 0)), z AS (SELECT k, id, count(*) AS z FROM g GROUP BY ALL)"""
+c AS (SELECT k, id, t, string_split(t, '') AS c FROM n WHERE length(t) > 0),
+u AS (SELECT k, id, unnest(c) AS a, unnest(c[2:]) AS b, unnest(c[3:]) AS d, unnest(c[4:]) AS e FROM c),
+g AS (SELECT DISTINCT k, id, a || b || d || e AS g FROM u WHERE e IS NOT NULL UNION ALL SELECT k, id, t FROM c WHERE length(t) < 4), z AS (SELECT k, id, count(*) AS z FROM g GROUP BY ALL)"""
 
 
 @query(f"WITH {GRAMS}, s AS (SELECT a.id AS a, b.id AS b, count(*) AS shared FROM g a JOIN g b ON a.g = b.g WHERE a.k = 'd' AND b.k = 'b' GROUP BY ALL) SELECT a, b, round(shared::DOUBLE / z, 6) AS containment FROM s JOIN z ON z.k = 'b' AND z.id = s.b WHERE shared::DOUBLE / z >= 0.9")
