@@ -99,7 +99,7 @@ def max_f1(predicted: Column, golds: Column) -> Column:
 def split_thoughts(content: Column) -> tuple[Column, Column]:
     """(answer, thoughts): pairs of think tags, a lone closing tag or a lone opening tag."""
     pair = r"(?s)<think>(.*?)</think>"
-    thoughts = F.transform(F.regexp_extract_all(content, F.lit(pair), F.lit(1)), F.trim)
+    thoughts = F.transform(F.regexp_extract_all(content, F.lit(pair), F.lit(1)), lambda x: F.trim(x))
     rest = F.regexp_replace(content, pair, "")
     closed, opened = F.locate("</think>", rest) > 0, F.locate("<think>", rest) > 0
     answer = F.when(closed, F.element_at(F.split(rest, "</think>"), -1)).when(opened, F.substring_index(rest, "<think>", 1)).otherwise(rest)
@@ -110,11 +110,8 @@ def split_thoughts(content: Column) -> tuple[Column, Column]:
 def grams(text: Column, n: int = 4) -> Column:
     """Distinct character n-grams; a shorter text is its own gram, an empty one has none."""
     t = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " "))
-    chars = F.split(t, "")
-    count = F.greatest(F.size(chars) - (n - 1), F.lit(0))
-    # zipped outside the lambda: what stands inside it is evaluated for each gram
-    zipped = F.arrays_zip(*(F.slice(chars, k + 1, count).alias(f"c{k}") for k in range(n)))
-    many = F.array_distinct(F.transform(zipped, lambda z: F.concat(*(z[f"c{k}"] for k in range(n)))))
+    # each match looks ahead over a gram and takes one code point
+    many = F.array_distinct(F.regexp_extract_all(t, F.lit(f"(?s)(?=(.{{{n}}}))."), F.lit(1)))
     return F.when(F.length(t) == 0, F.array().cast("array<string>")).when(F.length(t) < n, F.array(t)).otherwise(many)
 
 
@@ -128,3 +125,9 @@ def shuffled_options(correct: Column, wrong: Column, seed: Column) -> Column:
     marked = F.concat(F.transform(correct, lambda t: F.struct(t.alias("text"), F.lit(True).alias("correct"))), F.transform(wrong, lambda t: F.struct(t.alias("text"), F.lit(False).alias("correct"))))
     keyed = F.array_sort(F.transform(marked, lambda o, i: F.struct(F.sha2(F.concat_ws("|", seed.cast("string"), i.cast("string")), 256).alias("key"), o["text"].alias("text"), o["correct"].alias("correct"))))
     return F.transform(keyed, lambda o, i: F.struct(F.char(i + 65).alias("letter"), o["text"].alias("text"), o["correct"].alias("correct")))
+
+
+def lettered(correct: Column, wrong: Column) -> Column:
+    """array<struct<letter, text, correct>> in the given order, correct ones first."""
+    mark = lambda texts, right: F.transform(texts, lambda t: F.struct(t.alias("text"), F.lit(right).alias("correct")))
+    return F.transform(F.concat(mark(correct, True), mark(wrong, False)), lambda o, i: F.struct(F.char(i + 65).alias("letter"), o["text"].alias("text"), o["correct"].alias("correct")))

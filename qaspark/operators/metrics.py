@@ -30,7 +30,7 @@ def dimensions(verdicts: DataFrame, keys: Mapping[str, Column]) -> DataFrame:
     def entries(name: str, key: Column) -> Column:
         kind = verdicts.select(key.alias("k")).schema["k"].dataType.typeName()
         values = key if kind == "array" else F.array(key.cast("string"))
-        values = F.filter(F.transform(values, F.trim), lambda v: v.isNotNull() & (v != ""))
+        values = F.filter(F.transform(values, lambda x: F.trim(x)), lambda v: v.isNotNull() & (v != ""))
         values = F.when(F.coalesce(F.size(values), F.lit(0)) <= 0, F.array(F.lit("unknown"))).otherwise(values)
         return F.transform(values, lambda v: F.struct(F.lit(name).alias("dim"), v.alias("split")))
 

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from qaspark.functions.answers import language
+
 
 def hash_sample(rows: DataFrame, key: Column, n: int, seed: int = 42) -> DataFrame:
     """The same n rows in every run: those of the smallest hashes."""
@@ -70,3 +72,25 @@ def bad_cases(verdicts: DataFrame, sample: str) -> DataFrame:
     """Wrong answers with the difficulty of their sample: how many of its answers are wrong."""
     wrong = F.sum(F.when(F.col("is_correct"), 0).otherwise(1)).over(Window.partitionBy(sample))
     return verdicts.withColumn("difficulty", wrong.cast("long")).filter(~F.col("is_correct"))
+
+
+def dimension_key(dataset: Column, meta: str = "meta") -> Column:
+    """The key by which wrong answers are grouped for diagnosis: one of each dataset, `unknown` without it.
+
+    Where a dataset is bilingual the language is appended unless it is English.
+    """
+    part = lambda *keys: F.coalesce(*(F.nullif(F.coalesce(F.get(F.try_variant_get(meta, f"$.{k}", "array<string>"), F.lit(0)), F.try_variant_get(meta, f"$.{k}", "string")), F.lit("")) for k in keys))
+    lang = language(part("lang"), part("language"))
+    suffix = F.when(lang != "en", F.concat(F.lit("__"), lang)).otherwise("")
+    other = F.coalesce(part("dimension", "Dimension"), F.lit("unknown"))
+    asked = F.coalesce(part("question_type"), F.get(F.split(part("id"), "__"), F.lit(1)), F.lit("unknown"))
+    qtype = F.when(part("qtype").isNotNull(), F.concat(part("dim"), F.lit("__"), part("qtype")))
+    return (
+        F.when(dataset == "ToMBench", F.concat(F.coalesce(part("ability", "Ability"), F.lit("unknown")), suffix))
+        .when(dataset == "BigToM", F.coalesce(part("condition_type", "Condition_type"), other))
+        .when(dataset.isin("SocialIQA", "EmoBench"), F.concat(other, suffix))
+        .when(dataset == "HiToM", F.coalesce(F.concat(F.lit("order_"), part("order", "Order")), F.lit("unknown")))
+        .when(dataset == "FanToM", asked)
+        .when(dataset == "rubric", F.concat(F.coalesce(qtype, part("dim"), F.lit("unknown")), suffix))
+        .otherwise(other)
+    )

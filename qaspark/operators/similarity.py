@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from qaspark.functions.answers import grams
+from qaspark.operators.lineage import cut
 
 
 def gram_rows(rows: DataFrame, key: str, text: str, n: int = 4) -> DataFrame:
@@ -29,22 +30,87 @@ def contained(candidates: DataFrame, corpus: DataFrame, key: str, corpus_key: st
     return pairs.select("a", "b", share.alias("containment")).filter(F.col("containment") >= least)
 
 
-def alike(left: DataFrame, right: DataFrame, key: str, right_key: str, text: str, least: float, n: int = 4) -> DataFrame:
-    """(a, b, jaccard) of pairs at least so alike."""
-    pairs = overlaps(gram_rows(left, key, text, n), gram_rows(right, right_key, text, n))
-    share = F.col("shared") / (F.col("size_a") + F.col("size_b") - F.col("shared")).cast("double")
+def classes(rows: DataFrame, key: str, text: str, n: int = 4) -> tuple[DataFrame, DataFrame]:
+    """(members, representatives): rows of equal gram sets form a class named by its smallest id.
+
+    members is (id, class); representatives (id, grams), hashes of the distinct grams. Texts without grams are
+    classes of their own in neither: they are like nothing.
+    """
+    # the filter is on the text: one on the grams would make them twice
+    some = rows.filter(F.coalesce(F.col(text), F.lit("")).rlike(r"(?U)\S"))
+    sets = some.select(F.col(key).alias("id"), F.sort_array(F.transform(grams(F.col(text), n), lambda g: F.xxhash64(g))).alias("grams"))
+    named = cut(sets.withColumn("name", F.sha2(F.array_join(F.transform("grams", lambda g: F.hex(g)), ""), 256)))
+    least = cut(named.groupBy("name").agg(F.min("id").alias("class")))
+    members = named.select("id", "name").join(least, "name").select("id", "class")
+    # the smallest id may repeat, with this set or another: one row of each name
+    return members, named.join(least, "name").filter("id = class").dropDuplicates(["name"]).select("id", "grams")
+
+
+def _prefixes(sets: DataFrame, common: DataFrame, least: float, side: str) -> DataFrame:
+    """The rarest grams of each set, so many that two sets of Jaccard `least` must share one."""
+    ranked = sets.select("id", F.explode("grams").alias("gram"), F.size("grams").alias("size")).join(common, "gram")
+    ranked = ranked.groupBy("id", "size").agg(F.sort_array(F.collect_list(F.struct("c", "gram"))).alias("g"))
+    keep = F.col("size") - F.ceil(F.col("size") * F.lit(least) - F.lit(1e-9)).cast("int") + 1
+    return ranked.select(F.col("id").alias(side), F.col("size").alias(f"size_{side}"), F.posexplode(F.slice("g", 1, keep)).alias(f"at_{side}", "r")).select(side, f"size_{side}", f"at_{side}", F.col("r.gram").alias("gram"))
+
+
+def alike(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """(a, b, jaccard) of pairs of sets (id, grams) at least so alike; with `right` the same frame, pairs a < b.
+
+    Candidates share one of their rarest grams, fit in size and can still overlap enough by where their shared
+    grams stand; a second join verifies each on whole sets.
+    """
+    itself = left is right
+    every = left.select(F.explode("grams").alias("gram"))
+    if not itself:
+        every = every.unionByName(right.select(F.explode("grams").alias("gram")))
+    common = every.groupBy("gram").agg(F.count(F.lit(1)).alias("c"))
+    common = cut(common)
+    a = cut(_prefixes(left, common, least, "a"))
+    b = a.withColumnsRenamed({"a": "b", "size_a": "size_b", "at_a": "at_b"}) if itself else cut(_prefixes(right, common, least, "b"))
+    fits = (F.col("size_a") >= F.col("size_b") * least - 1e-9) & (F.col("size_b") >= F.col("size_a") * least - 1e-9)
+    found = a.join(b, "gram").filter(fits & (F.col("a") < F.col("b")) if itself else fits)
+    # grams up to the last shared one are all counted, so the overlap is at most these and what is left behind it
+    rest = F.least(F.col("size_a") - F.max("at_a"), F.col("size_b") - F.max("at_b")) - 1
+    found = found.groupBy("a", "b", "size_a", "size_b").agg((F.count(F.lit(1)) + rest).alias("most"))
+    found = found.filter(F.col("most") * (1 + least) >= least * (F.col("size_a") + F.col("size_b")) - 1e-9).select("a", "b")
+    whole = lambda t, side: t.select(F.col("id").alias(side), F.col("grams").alias(f"grams_{side}"))
+    pairs = found.join(whole(left, "a"), "a").join(whole(right, "b"), "b")
+    shared = F.size(F.array_intersect("grams_a", "grams_b"))
+    share = shared / (F.size("grams_a") + F.size("grams_b") - shared).cast("double")
     return pairs.select("a", "b", share.alias("jaccard")).filter(F.col("jaccard") >= least)
 
 
+def leaks(candidates: DataFrame, corpus: DataFrame, key: str, corpus_key: str, text: str, least: float = 0.6) -> DataFrame:
+    """(key, of, jaccard): candidates like a corpus text, with the likest one, the smallest id on a tie."""
+    members, mine = classes(candidates, key, text)
+    _, theirs = classes(corpus, corpus_key, text)
+    best = alike(mine, theirs, least).groupBy("a").agg(F.min_by("b", F.struct(-F.col("jaccard"), "b")).alias("of"), F.max("jaccard").alias("jaccard"))
+    return members.join(best, members["class"] == best["a"]).select(F.col("id").alias(key), "of", "jaccard")
+
+
+def deduplicated(rows: DataFrame, key: str, text: str, least: float = 0.85) -> DataFrame:
+    """(key, class, kept): in order of the key a row goes if it is so like a smaller one that stays.
+
+    Copies go with their class, which its smallest id stands for; texts without grams stay.
+    """
+    members, sets = classes(rows, key, text)
+    kept = greedy_kept(sets.select("id"), alike(sets, sets, least), "id").withColumn("kept", F.lit(True))
+    out = rows.select(F.col(key).alias("id")).distinct().join(members.distinct(), "id", "left").join(kept, "id", "left")
+    stays = F.col("class").isNull() | ((F.col("class") == F.col("id")) & F.coalesce("kept", F.lit(False)))
+    return out.select(F.col("id").alias(key), F.coalesce("class", "id").alias("class"), stays.alias("kept"))
+
+
 def greedy_kept(rows: DataFrame, pairs: DataFrame, key: str, a: str = "a", b: str = "b") -> DataFrame:
     """Rows that stay if each row goes that is paired with a smaller row that stays: a fixpoint over the pairs."""
-    earlier = pairs.select(F.least(a, b).alias("low"), F.greatest(a, b).alias("high")).filter("low < high").distinct().cache()
+    earlier = pairs.select(F.least(a, b).alias("low"), F.greatest(a, b).alias("high")).filter("low < high").distinct()
+    earlier = cut(earlier)
     state = rows.select(F.col(key).alias("id")).withColumn("kept", F.lit(None).cast("boolean"))
     state = state.join(earlier.select(F.col("high").alias("id")).distinct().withColumn("has", F.lit(True)), "id", "left")
-    state = state.select("id", F.when(F.col("has").isNull(), True).alias("kept")).cache()
+    state = cut(state.select("id", F.when(F.col("has").isNull(), True).alias("kept")))
     while not state.filter("kept IS NULL").isEmpty():
         below = earlier.join(state.withColumnRenamed("id", "low"), "low").groupBy("high").agg(F.bool_or("kept").alias("any_kept"), F.count_if(F.col("kept").isNull()).alias("open"))
         ruled = state.join(below.withColumnRenamed("high", "id"), "id", "left")
         decided = F.when(F.col("any_kept"), False).when(F.col("open") == 0, True)
-        state = ruled.select("id", F.coalesce("kept", decided).alias("kept")).cache()
+        state = cut(ruled.select("id", F.coalesce("kept", decided).alias("kept")))
     return state.filter("kept").select(F.col("id").alias(key))
