@@ -15,14 +15,16 @@ from qaspark.llm import bytebpe, curriculum, jaccard, langid, linededup
 from qaspark.llm.common import materialize
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: A text less like every language than this is rejected: random letters lie near 0, short clean texts above 0.15.
-LEAST_SCORE = 0.1
+#: A text less like every language than this is rejected, if its trigrams weigh as much as LEAST_GRAMS equally
+#: frequent ones: from there on clean texts lie above 0.25, most random letters under 0.1. Shorter texts are kept.
+LEAST_SCORE, LEAST_GRAMS = 0.1, 64
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without letters, null texts and those like no language go; `lang` stays as it was given."""
+    """Texts without letters, null texts and those long enough to judge that are like no language go; `lang` stays as it was given."""
     named = langid.identify_rows(docs.select(*COLUMNS), langid.learn(docs))
-    return named.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("lang_score") >= LEAST_SCORE)).select(*COLUMNS)
+    like = (F.col("lang_grams") < LEAST_GRAMS) | (F.col("lang_score") >= LEAST_SCORE)
+    return named.filter((F.col("lang_pred") != langid.UNKNOWN) & like).select(*COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -82,17 +82,24 @@ class Profiles:
         self.apart = apart / np.maximum(np.linalg.norm(apart, axis=1, keepdims=True), 1e-12)
 
     def predict(self, text: str | None) -> tuple[str, float]:
+        return self.judge(text)[:2]
+
+    def judge(self, text: str | None) -> tuple[str, float, float]:
+        """Language, score, and the number of equally frequent trigrams that would weigh as much as the text's."""
         found = grams(text or "")
-        if not len(found[0]) or not self.languages:
-            return UNKNOWN, 0.0
+        if not len(found[0]):
+            return UNKNOWN, 0.0, 0.0
+        weight = float(found[1].sum()) ** 2 / float((found[1].astype(np.float64) ** 2).sum())
+        if not self.languages:
+            return UNKNOWN, 0.0, weight
         vector = bundle(found, self.dimensions, self.seed).astype(np.float64)
         norm = np.linalg.norm(vector)
         if norm == 0:
-            return self.languages[0], 0.0
+            return self.languages[0], 0.0, weight
         vector /= norm
         near = self.prototypes @ vector
         best = int(np.argmax(self.apart @ (vector - self.mean)))
-        return self.languages[best], round(min(1.0, max(0.0, float(near[best]))), 6)
+        return self.languages[best], round(min(1.0, max(0.0, float(near[best]))), 6), weight
 
 
 def held_out(doc_id: Column, folds: int = FOLDS) -> Column:
@@ -145,14 +152,15 @@ def identify(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_c
 
 
 def identify_rows(docs: DataFrame, profiles: Profiles, text_col: str = "text") -> DataFrame:
-    """Every row of `docs`, with lang_pred and score."""
+    """Every row of `docs`, with lang_pred, lang_score and lang_grams, the weight of its trigrams."""
     columns = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields]
 
     def named(batches):
         import pyarrow as pa
 
         for batch in batches:
-            got = [profiles.predict(t) for t in batch.column(text_col).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [*batch.schema.names, "lang_pred", "lang_score"])
+            got = [profiles.judge(t) for t in batch.column(text_col).to_pylist()]
+            more = [pa.array([g[k] for g in got], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.float64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "lang_pred", "lang_score", "lang_grams"])
 
-    return in_batches(docs, named, ", ".join([*columns, "lang_pred string", "lang_score double"]))
+    return in_batches(docs, named, ", ".join([*columns, "lang_pred string", "lang_score double", "lang_grams double"]))

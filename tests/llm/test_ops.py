@@ -219,3 +219,17 @@ def test_pipeline_stages(spark, docs, folder):
     again = curriculum.mixed_rows(unique.select(*corpus_pipeline.COLUMNS))
     assert sorted(map(str, again.collect())) == sorted(map(str, mixed.collect()))
     assert corpus_pipeline.lines(spark, docs, folder).filter(F.col("text").isNull()).count() == docs.filter(F.col("text").isNull()).count()
+
+
+def test_language_stage_keeps_short_texts(spark):
+    rnd = random.Random(3)
+    vocabulary = {"en": "the and of house water nothing", "de": "die und straße wasser nichts größer", "fr": "avec les maison rien été garçon", "es": "todo los agua nada niño señor"}
+    spoken = lambda lang, n: " ".join(rnd.choice(vocabulary[lang].split()) for _ in range(n))
+    short = [(f"{w.title()}.", lang) for lang in vocabulary for w in vocabulary[lang].split()] + [("Avec.", "fr"), ("Die tz.", "de"), ("Edrere.", "en"), ("Lllldoado.", "es")]
+    short += [(spoken(lang, n), lang) for lang in vocabulary for n in (1, 2, 3) for _ in range(9)]
+    noise = ["".join(rnd.choice("qxzwkjvy") for _ in range(900)) for _ in range(5)]
+    kept = [*short, *((spoken(lang, 200), lang) for lang in vocabulary for _ in range(20))]
+    rows = [(i, *r, "s", None) for i, r in enumerate([*kept, *((t, None) for t in [*noise, None, "", "12 !"])])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.language(spark, docs, "").collect()
+    assert sorted(r.doc_id for r in got) == list(range(len(kept)))
