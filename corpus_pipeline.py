@@ -21,10 +21,15 @@ LEAST_SCORE, LEAST_GRAMS = 0.1, 64
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without letters, null texts and those long enough to judge that are like no language go; `lang` stays as it was given."""
-    named = langid.identify_rows(docs.select(*COLUMNS), langid.learn(docs))
-    like = (F.col("lang_grams") < LEAST_GRAMS) | (F.col("lang_score") >= LEAST_SCORE)
-    return named.filter((F.col("lang_pred") != langid.UNKNOWN) & like).select(*COLUMNS)
+    """Texts without letters, null texts and those long enough to judge that are like no language go; `lang` stays as it was given.
+
+    If nothing was learned (no labelled text with letters outside the held-out fold), no text can be judged: only
+    null texts and those without letters go.
+    """
+    profiles = langid.learn(docs)
+    named = langid.identify_rows(docs.select(*COLUMNS), profiles)
+    judged = (F.col("lang_grams") >= LEAST_GRAMS) & F.lit(bool(profiles.prototypes.any()))
+    return named.filter((F.col("lang_grams") > 0) & (~judged | (F.col("lang_score") >= LEAST_SCORE))).select(*COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

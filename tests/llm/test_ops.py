@@ -233,3 +233,14 @@ def test_language_stage_keeps_short_texts(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     got = corpus_pipeline.language(spark, docs, "").collect()
     assert sorted(r.doc_id for r in got) == list(range(len(kept)))
+
+
+@pytest.mark.parametrize("label", ["none", "held out", "no letters"])
+def test_language_stage_without_training(spark, label):
+    rnd = random.Random(4)
+    clean = ["".join(rnd.choice("aeiou nrst lmd") for _ in range(9 + 900 * (i % 2))) for i in range(10)]
+    rows = [(i, t, None, "s", None) for i, t in enumerate([*clean, None, "", "12 !"])]
+    rows += [(None, "another clean text", "en", "s", None)] if label == "held out" else [(91, "34 ?", "en", "s", None)] if label == "no letters" else []
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.language(spark, docs, "").collect()
+    assert sorted(r.text for r in got) == sorted(r[1] for r in rows if r[1] and any(map(str.isalpha, r[1])))
