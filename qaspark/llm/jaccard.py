@@ -14,7 +14,8 @@ differ by few counts.
 3. Within components, points are packed into leaves by size; leaves with sizes that can match are joined,
    small components many to a task, large ones leaf by leaf in blocks. A tree of boxes bounds the overlap
    of a point and a box, then of two points; what survives is verified on the sets of shingle hashes (64
-   bits each). Pairs that links found before connect are passed over; no other pair is.
+   bits each). Pairs that links found before connect are passed over; no other pair is. `links` and
+   `join(..., count_links=True)` verify those too.
 
 Defined results. Null or empty text, or only white space: no shingles, linked with nothing, in a component of its own.
 Fewer words than a shingle: the whole sequence is one. Null doc_id: larger than every other; the
@@ -225,6 +226,17 @@ def forest(sets: list[np.ndarray], counts: np.ndarray, sides: np.ndarray, percen
     return out
 
 
+def all_links(sets: list[np.ndarray], counts: np.ndarray, sides: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Every link. With two sides, only links between sides."""
+    sizes = np.array([len(s) for s in sets])
+    tree, out, one_side = CountTree(counts, sizes, percent), [], (sides == sides[0]).all()
+    for i in range(len(sets)):
+        found, _ = tree.near(counts[i], int(sizes[i]))
+        found = found[found < i] if one_side else found[sides[found] < sides[i]]
+        out += [(i, j) for j in found.tolist() if linked(sets[i], sets[j], percent)]
+    return out
+
+
 def can_link(counts: np.ndarray, sizes: np.ndarray, others: np.ndarray, other_sizes: np.ndarray, percent: int) -> np.ndarray:
     """Whether the sum of coordinate minima allows rows to be linked with other rows."""
     return (100 + percent) * np.minimum(counts, others).sum(-1) >= percent * (sizes + other_sizes)
@@ -390,8 +402,8 @@ def units(candidates: DataFrame, nodes: DataFrame, percent: int, buckets: int) -
     return small.unionByName(large)
 
 
-def verified_links(packed: DataFrame, placed: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """(a, b): what connects the nodes of each component as all links do, as stars."""
+def verified_links(packed: DataFrame, placed: DataFrame, shingle: int, percent: int, every: bool = False) -> DataFrame:
+    """(a, b): what connects the nodes of each component as all links do, as stars; or every link of two nodes, once."""
 
     def sent(texts, wanted):
         import pyarrow as pa
@@ -425,20 +437,18 @@ def verified_links(packed: DataFrame, placed: DataFrame, shingle: int, percent:
             mine = [sets[j] for j in k.tolist()]
             groups = jaccard.groups_for(max(map(len, mine)))
             counts = np.stack([jaccard.point(x, groups) for x in mine])
-            out += [(int(node[k[i]]), int(node[k[j]])) for i, j in jaccard.forest(mine, counts, side[k], percent)]
-        pairs = stars(np.array(out, np.int64).reshape(-1, 2))
+            found = (jaccard.all_links if every else jaccard.forest)(mine, counts, side[k], percent)
+            out += [(int(node[k[i]]), int(node[k[j]])) for i, j in found]
+        pairs = np.array(out, np.int64).reshape(-1, 2)
+        pairs = pairs if every else stars(pairs)
         return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
 
     blocks_ = placed.groupBy("doc_bucket").cogroup(packed.groupBy("doc_bucket")).applyInArrow(lambda w, t: sent(t, w), "unit string, block binary")
     return blocks_.groupBy("unit").applyInArrow(resolved, "a long, b long")
 
 
-def join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, tag, n_shingles, component_id, is_first): one row for each document.
-
-    component_id: the smallest doc_id that links reach; is_first: whether this row is the one of its
-    component to keep (smallest doc_id, then smallest tag; equal rows are alike).
-    """
+def linked_nodes(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col: str, every: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The documents as `classes_of` has them; (node, doc_id, tag, n), each node's first document; the links (a, b) of nodes."""
     total = text_bytes(docs, text_col)
     bits, buckets = window_bits(total), doc_buckets(total)
     named = named_documents(docs, id_col, text_col)
@@ -451,8 +461,40 @@ def join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col
     nodes = nodes.drop("point")
     candidates = components(found).select("node", F.col("label").alias("component"))
     placed = materialize(units(candidates, nodes, percent, buckets))
-    links = materialize(verified_links(packed_documents(named, buckets), placed, shingle, percent))
-    labels = components(links)
+    found = materialize(verified_links(packed_documents(named, buckets), placed, shingle, percent, every))
+    return measured, nodes, found
+
+
+def links(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_a, tag_a, doc_b, tag_b): every link of two different sets of shingles, once.
+
+    A set stands for all documents that have it, by the smallest (doc_id, tag) of them; doc_a is the smaller one.
+    """
+    _, nodes, found = linked_nodes(docs, shingle, percent, id_col, text_col, True)
+    one, other = (nodes.select(F.col("node").alias(c), F.struct("doc_id", "tag").alias(f"of_{c}")) for c in "ab")
+    both = found.join(one, "a").join(other, "b").select(F.array_sort(F.array("of_a", "of_b")).alias("p"))
+    ends = [F.col("p")[k][c].alias(f"{name}_{'ab'[k]}") for k in (0, 1) for c, name in (("doc_id", "doc"), ("tag", "tag"))]
+    return both.select(*ends).select(*(F.when(F.col(c) != NULL_ID, F.col(c)).alias(c) if c[0] == "d" else c for c in ("doc_a", "tag_a", "doc_b", "tag_b")))
+
+
+def link_counts(measured: DataFrame, found: DataFrame) -> DataFrame:
+    """(node, n_links): how many other documents a document of the node is linked with, those of its own node among them."""
+    copies = materialize(measured.filter("n > 0").groupBy("node").agg(F.count(F.lit(1)).alias("copies")))
+    ends = F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other")))
+    both = found.select(F.explode(ends).alias("e")).select("e.*")
+    others = both.join(copies.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.sum("copies").alias("others"))
+    return copies.join(others, "node", "left").select("node", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+
+
+def join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", count_links: bool = False) -> DataFrame:
+    """(doc_id, tag, n_shingles, component_id, is_first): one row for each document.
+
+    component_id: the smallest doc_id that links reach; is_first: whether this row is the one of its
+    component to keep (smallest doc_id, then smallest tag; equal rows are alike). count_links adds n_links:
+    how many other documents are linked with this one, every row counting; 0 without shingles.
+    """
+    measured, nodes, found = linked_nodes(docs, shingle, percent, id_col, text_col, count_links)
+    labels = components(found)
     joined = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = joined.groupBy("label").agg(F.min(F.struct("doc_id", "tag")).alias("least"))
     of_node = joined.join(smallest, "label").select("node", "least")
@@ -460,7 +502,10 @@ def join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col
     own = F.struct("doc_id", "tag")
     least = F.coalesce(F.when(F.col("n") > 0, F.col("least")), own)
     clean = lambda c: F.when(c != NULL_ID, c)
-    return out.select(clean(F.col("doc_id")).alias("doc_id"), "tag", F.col("n").alias("n_shingles"), clean(least["doc_id"]).alias("component_id"), (least == own).alias("is_first"))
+    if count_links:
+        out = out.join(link_counts(measured, found), "node", "left")
+    more = [F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if count_links else []
+    return out.select(clean(F.col("doc_id")).alias("doc_id"), "tag", F.col("n").alias("n_shingles"), clean(least["doc_id"]).alias("component_id"), (least == own).alias("is_first"), *more)
 
 
 def row_slices(offsets: np.ndarray):

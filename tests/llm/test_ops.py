@@ -166,6 +166,33 @@ def test_op7_brute_force(spark, shingle, percent):
     assert [got[i].n_shingles for i in range(len(texts))] == [len(s) for s in sets]
 
 
+@pytest.mark.parametrize("leaf", [jaccard.LEAF, 4])
+def test_op7_counts_links(spark, monkeypatch, leaf):
+    monkeypatch.setattr(jaccard, "LEAF", leaf)
+    rnd = random.Random(8)
+    texts = []
+    for _ in range(5):
+        base = [str(rnd.randrange(400)) for _ in range(90)]
+        texts += [" ".join(base[: 90 - rnd.randrange(22)]) for _ in range(9)]
+    texts += [texts[0], texts[0], None, "", "one", "ONE "]
+    rows = [(None if i == 20 else i, t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    w = [(t or "").lower().split() for t in texts]
+    sets = [frozenset(tuple(x[i : i + 4]) for i in range(max(1, len(x) - 3))) if x else frozenset() for x in w]
+    alike = [[j for j, b in enumerate(sets) if i != j and a and 100 * len(a & b) >= 85 * len(a | b)] for i, a in enumerate(sets)]
+    got = {r.doc_id: r for r in jaccard.join(docs, count_links=True).collect()}
+    assert [got[i].n_links for i, _ in rows] == [len(x) for x in alike]
+    whole = [r.n_links for r in got.values() if r.component_id == 0]
+    assert min(whole) < len(whole) - 1  # some documents of a component are not linked with each other
+    plain = jaccard.join(docs)
+    assert "n_links" not in plain.columns and sorted(map(str, plain.collect())) == sorted(str(r) for r in jaccard.join(docs, count_links=True).drop("n_links").collect())
+    key = lambda i: rows[i][0] if rows[i][0] is not None else 1 << 63
+    first = [min((j for j, b in enumerate(sets) if b == a), key=key) for a in sets]
+    want = {tuple(sorted((first[i], first[j]), key=key)) for i, x in enumerate(alike) for j in x if sets[i] != sets[j]}
+    found = [(r.doc_a, r.doc_b) for r in jaccard.links(docs).collect()]
+    assert len(found) == len(want) and set(found) == {(rows[a][0], rows[b][0]) for a, b in want}
+
+
 def test_components(spark):
     rng = np.random.default_rng(1)
     pairs = rng.integers(0, 60, (40, 2))
