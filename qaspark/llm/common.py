@@ -19,21 +19,48 @@ ROOT = str(Path(__file__).resolve().parents[2])
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of `spark.checkpoint.dir`; where that is unset (tests), a local one is set."""
+    """The application's folder in the shared folder of `spark.checkpoint.dir`, deleted when the driver ends.
+
+    Where that is unset a machine-local folder is set, on a local master only: executors of a cluster would each
+    write to a disk of their own, so there it is an error.
+    """
+    context = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        context = spark.sparkContext
         if context._jsc.sc().getCheckpointDir().isEmpty():
+            if not context.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="qaspark-"))
         path = context._jsc.sc().getCheckpointDir().get()
-    return f"{path.rstrip('/')}/qaspark-{spark.sparkContext.applicationId}"
+    path = f"{path.rstrip('/')}/qaspark-{context.applicationId}"
+    if path not in _SWEPT:
+        _SWEPT.add(path)
+        _file_system(spark, path).deleteOnExit(context._jvm.org.apache.hadoop.fs.Path(path))
+    return path
+
+
+_SWEPT: set[str] = set()
+
+
+def _file_system(spark: SparkSession, path: str):
+    context = spark.sparkContext
+    return context._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(context._jsc.hadoopConfiguration())
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """Write `df` as a table in the shared folder and read it back: lineage ends, executors may go."""
     path = f"{scratch_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.scratch_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that `materialize` gave; nothing that is still to run may read them."""
+    for table in tables:
+        spark, path = table.sparkSession, table.scratch_path
+        _file_system(spark, path).delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path), True)
 
 
 def workers_see_package(spark: SparkSession) -> None:
