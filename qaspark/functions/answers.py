@@ -50,6 +50,13 @@ def letter_set(raw: Column) -> Column:
     return F.when(F.size(found) > 0, found)
 
 
+def guessed_letter(text: Column) -> Column:
+    """A letter of free text: a lone one from A to O, else the first character, a capital; empty for nothing."""
+    t = F.trim(F.coalesce(text, F.lit("")))
+    alone = F.regexp_extract(t, r"(?U)\b([A-Oa-o])\b", 1)
+    return F.upper(F.when(alone != "", alone).otherwise(F.left(t, F.lit(1))))
+
+
 def same_set(a: Column, b: Column) -> Column:
     return F.array_sort(F.array_distinct(a)) == F.array_sort(F.array_distinct(b))
 

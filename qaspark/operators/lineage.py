@@ -7,20 +7,37 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(rows: DataFrame) -> DataFrame:
-    """`rows` written as a table in the shared folder of `spark.checkpoint.dir` and read back; where that is unset
-    (tests), in a local one. A table is computed once and can be read by columns, unlike a checkpoint."""
-    spark = rows.sparkSession
+def folder(spark: SparkSession) -> str:
+    """The application's folder in the shared folder of `spark.checkpoint.dir`, deleted when the driver ends.
+
+    Where that is unset a machine-local folder is set, on a local master only: on a cluster it is an error.
+    """
+    context = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        context = spark.sparkContext
         if context._jsc.sc().getCheckpointDir().isEmpty():
+            if not context.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="qaspark-"))
         path = context._jsc.sc().getCheckpointDir().get()
-    path = f"{path.rstrip('/')}/qaspark-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = f"{path.rstrip('/')}/qaspark-{context.applicationId}"
+    if path not in _SWEPT:
+        _SWEPT.add(path)
+        location = context._jvm.org.apache.hadoop.fs.Path(path)
+        location.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(location)
+    return path
+
+
+_SWEPT: set[str] = set()
+
+
+def cut(rows: DataFrame) -> DataFrame:
+    """`rows` written as a table in the shared folder and read back: computed once, read by columns."""
+    spark = rows.sparkSession
+    path = f"{folder(spark)}/{uuid.uuid4().hex}"
     rows.write.parquet(path)
     return spark.read.schema(rows.schema).parquet(path)
 

@@ -49,13 +49,15 @@ def nested(verdicts: DataFrame, path: Sequence[str]) -> DataFrame:
     return out.withColumn("acc", safe_ratio(F.col("correct"), F.col("n"))).drop("correct")
 
 
-def all_correct(verdicts: DataFrame, group: str, member: str, required: Sequence[str] = ()) -> DataFrame:
-    """(groups, groups_correct, acc): a group counts if it has all required members, and is right if all are."""
-    members = verdicts.groupBy(group, member).agg(F.every("is_correct").alias("ok"))
-    need = F.array(*map(F.lit, required)).cast("array<string>")
-    groups = members.groupBy(group).agg(F.collect_set(F.col(member).cast("string")).alias("have"), F.every("ok").alias("ok"))
-    groups = groups.filter(F.size(F.array_except(need, "have")) == 0)
-    return groups.agg(F.count(F.lit(1)).alias("groups"), F.count_if("ok").alias("groups_correct")).withColumn("acc", safe_ratio(F.col("groups_correct"), F.col("groups")))
+def all_correct(verdicts: DataFrame, group: str, member: str, required: Sequence[str]) -> DataFrame:
+    """(groups, groups_correct, acc): a group counts if it has all required members, and is right if all of these
+    are; members that are not required decide nothing."""
+    wanted = verdicts.filter(F.col(member).isin(*required))
+    # one column for each required member: nothing is collected, a group of any size stays one row
+    groups = wanted.groupBy(group).agg(*(F.bool_and(F.when(F.col(member) == m, F.coalesce("is_correct", F.lit(False)))).alias(f"m{k}") for k, m in enumerate(required)))
+    ok = F.array(*(F.col(f"m{k}") for k in range(len(required))))
+    groups = groups.select(F.forall(ok, lambda x: x.isNotNull()).alias("whole"), F.forall(ok, lambda x: F.coalesce(x, F.lit(False))).alias("right")).filter("whole")
+    return groups.agg(F.count(F.lit(1)).alias("groups"), F.count_if("right").alias("groups_correct")).withColumn("acc", safe_ratio(F.col("groups_correct"), F.col("groups")))
 
 
 def macro(verdicts: DataFrame, by: str) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from qaspark.functions.answers import english_tokens, max_f1, question_type
+
 KEPT = ("hard", "medium")
 
 
@@ -49,6 +51,20 @@ def histogram(labels: DataFrame, column: str) -> DataFrame:
     return out.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 4))
 
 
+def type_counts(samples: DataFrame, answer: str = "answer") -> DataFrame:
+    """(total, open_count, mcq_count, question_type): how many questions are open, and what that makes the dataset."""
+    open_ = question_type(F.col(f"{answer}.correct_answers"), F.col(f"{answer}.wrong_answers")) == "open"
+    out = samples.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.coalesce(open_, F.lit(False))).alias("open_count"))
+    out = out.withColumn("mcq_count", F.col("total") - F.col("open_count"))
+    mixed = F.format_string("Mixed (MCQ: %d, Open: %d)", "mcq_count", "open_count")
+    return out.withColumn("question_type", F.when(F.col("open_count") == 0, "Multiple Choice").when(F.col("mcq_count") == 0, "Open QA").otherwise(mixed))
+
+
+def open_correct(tokens: Column, golds: Column, least: Column | float, tokenised=english_tokens) -> Column:
+    """Whether an open answer's best token F1 with a gold that is not blank reaches `least`."""
+    return max_f1(tokens, F.transform(F.filter(golds, lambda g: F.trim(g) != ""), tokenised)) >= least
+
+
 def keep_last(rows: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     """The last row of each key."""
     rank = F.row_number().over(Window.partitionBy(key).orderBy(*(F.col(c).desc() for c in order)))

@@ -11,7 +11,8 @@ from qaspark.operators import judging as J
 from qaspark.operators import selection as S
 from qaspark.operators import similarity as D
 from qaspark.plans import tasks as T
-from qaspark.plans.registry import GRAMS, query, table
+from qaspark.plans.evaluating import GRAMS, query, table
+from qaspark.plans.stand_ins import echo
 from qaspark.sources import markdown, responder, runs
 
 # ---- events as answers of four question types ------------------------------------------
@@ -116,12 +117,12 @@ def task_belief_reasoning(spark, sf_dir):
     return flat(T.evaluated(v, "Belief_R").drop("scope")).filter(F.col("path").startswith("belief_reasoning"))
 
 
-@query(f"""WITH {TYPED}, s AS (SELECT 'all' AS scope, * FROM g UNION ALL SELECT 'qualified', * FROM g WHERE k % 4 <> 1), u AS (SELECT scope, 'dim1=' || user_id % 3 || '/dim2=' || user_id % 3 || '.' || user_id % 2 || '/dim3=' || event_type AS path, is_correct FROM s)
+@query(f"""WITH {TYPED}, s AS (SELECT 'all' AS scope, * FROM g UNION ALL SELECT 'qualified', * FROM g WHERE k % 4 = 0), u AS (SELECT scope, 'dim1=' || user_id % 3 || '/dim2=' || user_id % 3 || '.' || user_id % 2 || '/dim3=' || event_type AS path, is_correct FROM s)
 SELECT scope, path, round(avg(is_correct::INTEGER), 6) AS acc, count(*) AS n FROM u GROUP BY ALL UNION ALL SELECT scope, 'q4_score=' || event_type, round(avg(judge_score), 6), count(judge_score) FROM s WHERE judge_score IS NOT NULL GROUP BY ALL UNION ALL SELECT scope, 'q4_score=overall', round(avg(judge_score), 6), count(judge_score) FROM s GROUP BY scope""")
 def task_rubric_scopes(spark, sf_dir):
     first = (F.col("user_id") % 3).cast("string")
     v = with_meta(judged(spark, sf_dir), dim1=first, dim2=F.concat(first, F.lit("."), (F.col("user_id") % 2).cast("string")), dim=F.col("event_type"), review_pass=F.when(F.col("k") % 4 < 2, F.col("k") % 4 != 1))
-    return flat(T.evaluated(v, "rubric")).filter(F.col("path").rlike("dim3=|^q4_score"))
+    return flat(T.evaluated(v, "social", {"social": "rubric"})).filter(F.col("path").rlike("dim3=|^q4_score"))
 
 
 @query(r"""WITH v AS (SELECT event_id // 8 AS s, event_id % 8 AS r, CASE WHEN event_id % 5 > 0 THEN chr(65 + CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER) % 3) END AS l FROM events), c AS (SELECT s, l, count(*) AS c FROM v WHERE l IS NOT NULL GROUP BY ALL), n AS (SELECT s, count(*) AS n FROM v GROUP BY s)
@@ -174,14 +175,6 @@ def greedy_dedup(spark, sf_dir):
     return D.deduplicated(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-def echo(row: dict) -> dict:
-    """A stand-in for a model: answers with the prompt, thinks about its length, fails where that is divisible by 5."""
-    if len(row["prompt"]) % 5 == 0:
-        raise responder.CallError("INTERNAL")
-    content, reasoning = responder.divided(f"<think>{len(row['prompt'])}</think> {row['prompt']}")
-    return {"content": content, "reasoning": reasoning, "prompt_tokens": len(row["prompt"]), "completion_tokens": 1}
-
-
 @query("SELECT c_custkey, CASE WHEN length(c_name) % 5 > 0 THEN c_name END AS content, CASE WHEN length(c_name) % 5 > 0 THEN length(c_name)::VARCHAR END AS reasoning, length(c_name) % 5 > 0 AS ok, CASE WHEN length(c_name) % 5 = 0 THEN 'INTERNAL' END AS error, 1 AS attempts FROM (SELECT c_custkey, c_mktsegment AS c_name FROM customer)")
 def model_calls(spark, sf_dir):
     rows = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("prompt"))

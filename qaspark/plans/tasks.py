@@ -7,13 +7,14 @@ longer path. All dimensions come from one explode and one aggregate.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from qaspark.functions.answers import safe_ratio
+from qaspark.operators.lineage import cut
 
 UNKNOWN = "unknown"
 
@@ -218,7 +219,7 @@ def _rubric_means(v: DataFrame) -> DataFrame:
 class Task:
     dims: tuple[Dim, ...]
     extra: tuple[Callable[[DataFrame], DataFrame], ...] = ()
-    #: A key of meta; rows where it is not false are measured a second time under the scope `qualified`.
+    #: A key of meta; rows where it is true or missing are measured a second time under the scope `qualified`.
     qualified: str | None = None
     open_judge: str = field(default="rule")
 
@@ -250,9 +251,32 @@ TASKS: dict[str, Task] = {
 }
 
 
-def evaluated(verdicts: DataFrame, task: str) -> DataFrame:
-    """(scope, path, acc, n) of a task; an unknown task has the question types alone."""
-    spec = TASKS.get(task, Task(()))
+def passed(key: str, meta: str = "meta") -> Column:
+    """Whether meta.key is true as Python takes it: missing is true; null, 0, false and empty values are false."""
+    part = F.try_variant_get(meta, f"$.{key}", "variant")
+    kind, text = F.schema_of_variant(part), F.to_json(part)
+    return F.when(part.isNull(), True).otherwise(~(F.coalesce(kind, F.lit("VOID")) == "VOID") & ~text.isin("false", "0", "0.0", '""', "[]", "{}"))
+
+
+def task_of(dataset: str, tasks: Mapping[str, str] | None = None) -> Task:
+    """The task of a dataset, which `tasks` may give another name; an unknown one is an error."""
+    name = (tasks or {}).get(dataset, dataset)
+    if name not in TASKS:
+        raise ValueError(f"no task is known for dataset {dataset!r}")
+    return TASKS[name]
+
+
+def review_counts(verdicts: DataFrame, key: str = "review_pass") -> DataFrame:
+    """(review_pass_count, review_fail_count, review_pass_rate): how many rows are qualified."""
+    out = verdicts.agg(F.count_if(passed(key)).alias("review_pass_count"), F.count(F.lit(1)).alias("n"))
+    return out.select("review_pass_count", (F.col("n") - F.col("review_pass_count")).alias("review_fail_count"), safe_ratio(F.col("review_pass_count"), F.col("n")).alias("review_pass_rate"))
+
+
+def evaluated(verdicts: DataFrame, dataset: str, tasks: Mapping[str, str] | None = None) -> DataFrame:
+    """(scope, path, acc, n) of a dataset's task. The verdicts are computed once, whatever reads them."""
+    spec = task_of(dataset, tasks)
+    needed = ("sample_id", "prompt_type", "is_correct", "meta", "options", "sub_results", "judge_score")
+    verdicts = cut(verdicts.select(*(c for c in needed if c in verdicts.columns)))
 
     def measured(v: DataFrame, scope: str) -> DataFrame:
         out = metrics(v, spec.dims)
@@ -262,6 +286,21 @@ def evaluated(verdicts: DataFrame, task: str) -> DataFrame:
 
     out = measured(verdicts, "all")
     if spec.qualified:
-        passed = F.coalesce(F.try_variant_get("meta", f"$.{spec.qualified}", "boolean"), F.lit(True))
-        out = out.unionByName(measured(verdicts.filter(passed), "qualified"))
+        out = out.unionByName(measured(verdicts.filter(passed(spec.qualified)), "qualified"))
     return out
+
+
+def definitions(dataset: str, tasks: Mapping[str, str] | None = None) -> list[tuple[str, str, str]]:
+    """The dimensions of a dataset's metrics as (second, third, fourth) level, a dash where there is none."""
+    rows = []
+    for top in (TYPE, *task_of(dataset, tasks).dims):
+        below = [(child.name, grand.name) for child in top.children for grand in child.children or ()] or [(child.name, "—") for child in top.children] or [("—", "—")]
+        rows += [(top.name, *names) for names in below]
+    return rows
+
+
+def definition_text(dataset: str, tasks: Mapping[str, str] | None = None) -> str:
+    """The same as a Markdown table under the accuracy, the first level."""
+    lines = ["| level 1 | level 2 | level 3 | level 4 |", "|---|---|---|---|"]
+    lines += [f"| {'accuracy' if k == 0 else ''} | {' | '.join(row)} |" for k, row in enumerate(definitions(dataset, tasks))]
+    return "\n".join(lines) + "\n"

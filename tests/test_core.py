@@ -50,11 +50,50 @@ def test_votes(spark):
     assert {r[0]: r[1] for r in M.strict_majority(chosen, "s", "c").collect()} == {1: ["A"], 2: None}
 
 
-def test_apportion():
-    assert S.apportion({"a": 5, "b": 3, "c": 0}, 10) == {"a": 6, "b": 3, "c": 1}
-    assert sum(S.apportion({"a": 1, "b": 1, "c": 1}, 7).values()) == 7
-    assert S.apportion({"a": 2, "b": 9, "c": 1}, 2) == {"a": 1, "b": 1, "c": 0}
-    assert sum(S.quotas({"a": 50, "b": 30, "c": 20}, 10).values()) == 10
+def shares(spark, counts, reports, totals=None):
+    rows = spark.createDataFrame([(d, n, (totals or {}).get(d, 0)) for d, n in counts.items()], "dim string, wrong long, total long")
+    return {r["dim"]: r["share"] for r in S.apportioned(rows, "dim", "wrong", reports, "total" if totals else None).collect()}
+
+
+def test_apportion(spark):
+    assert shares(spark, {"a": 5, "b": 3, "c": 0}, 10) == {"a": 6, "b": 3, "c": 1}
+    assert sum(shares(spark, {"a": 1, "b": 1, "c": 1}, 7).values()) == 7
+    assert shares(spark, {"a": 2, "b": 9, "c": 1}, 2) == {"a": 1, "b": 1}
+    # what is over goes round by round, from the lightest
+    assert shares(spark, {"a": 86, "b": 10, "c": 10, "d": 1, "e": 4, "f": 86}, 7) == {"a": 1, "b": 1, "c": 1, "d": 1, "e": 1, "f": 2}
+    assert shares(spark, {"a": 0, "b": 0}, 5) == {"a": 3, "b": 2}
+    assert shares(spark, {"a": 1, "b": 9}, 4, {"a": 1, "b": 90}) == {"a": 3, "b": 1}
+
+
+def test_quotas(spark):
+    def of(sizes, most):
+        rows = spark.createDataFrame([(d,) for d, n in sizes.items() for _ in range(n)], "dim string")
+        return {r["dim"]: r["quota"] for r in S.quotas(rows, "dim", most).collect()}
+
+    assert of({"a": 15, "b": 15, "c": 15, "d": 15}, 10) == {"a": 3, "b": 3, "c": 2, "d": 2}
+    assert of({"a": 50, "b": 30, "c": 20}, 10) == {"a": 5, "b": 3, "c": 2}
+    assert of({"a": 97, "b": 1, "c": 1, "d": 1}, 4) == {"a": 3, "b": 1, "c": 1, "d": 1}
+    rows = spark.createDataFrame([(d, k) for d, n in {"a": 97, "b": 1, "c": 1, "d": 1}.items() for k in range(n)], "dim string, k int")
+    assert [tuple(r) for r in S.stratified(rows, "dim", [F.col("k")], 4).orderBy("dim", "k").collect()] == [("a", 0), ("a", 1), ("a", 2), ("b", 0)]
+
+
+def test_required_members(spark):
+    rows = [("g", "x", True), ("g", "y", True), ("g", "z", False), ("h", "x", True), ("i", "x", True), ("i", "y", None)]
+    got = M.all_correct(spark.createDataFrame(rows, "g string, m string, is_correct boolean"), "g", "m", ["x", "y"]).first()
+    assert (got["groups"], got["groups_correct"]) == (2, 1)
+
+
+def test_dimension_key_and_tasks(spark):
+    import pytest
+
+    from qaspark.plans import tasks
+
+    meta = spark.createDataFrame([("FanToM", '{"question_Type": "x"}'), ("FanToM", '{"id": "a__b__c"}'), ("mine", '{"dim": "1.1", "qtype": "Q1", "lang": "zh"}'), ("other", '{"Dimension": ["d"]}'), ("BigToM", "{}")], "d string, m string")
+    keys = meta.withColumn("meta", F.parse_json("m")).select(S.dimension_key(F.col("d"), tasks={"mine": "rubric"}).alias("k")).collect()
+    assert [r["k"] for r in keys] == ["x", "b", "1.1__Q1__zh", "d", "unknown"]
+    assert tasks.task_of("mine", {"mine": "rubric"}).qualified == "review_pass"
+    with pytest.raises(ValueError):
+        tasks.task_of("nobody")
 
 
 def test_greedy_chain(spark):
