@@ -11,7 +11,7 @@ import struct
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import in_batches, mix, text_buffer
@@ -95,6 +95,16 @@ def doc_buckets(total: int) -> int:
     return max(LEAST_BUCKETS, min(MOST_BUCKETS, total // BUCKET_BYTES)) | 1
 
 
+def doc_places(ids: np.ndarray, tags: np.ndarray, buckets: int) -> np.ndarray:
+    """Doc buckets of documents: by id, those without one by tag, so that they do not all meet."""
+    return (np.where(ids == NULL_ID, tags, ids) % buckets).astype(np.int32)
+
+
+def doc_bucket(id_: str, tag: str, buckets: int) -> Column:
+    """The same as a column."""
+    return F.pmod(F.when(F.col(id_) == NULL_ID, F.col(tag)).otherwise(F.col(id_)), F.lit(buckets)).cast("int")
+
+
 def window_bits(total: int) -> int:
     """Bits of a hash that name its bucket; from 8 on, so that few buckets fall on one task."""
     return max(8, min(16, (total // (2 * BUCKET_BYTES)).bit_length()))
@@ -139,7 +149,7 @@ def packed_documents(named: DataFrame, buckets: int) -> DataFrame:
 
         for ids, tags, data, offsets in blocks.slices(batches):
             where, out = [], []
-            for bucket, rows in blocks.by_bucket((ids % buckets).astype(np.int32)):
+            for bucket, rows in blocks.by_bucket(blocks.doc_places(ids, tags, buckets)):
                 sizes = offsets[rows + 1] - offsets[rows]
                 text = b"".join([data[offsets[r] : offsets[r + 1]].tobytes() for r in rows.tolist()])
                 where.append(bucket)

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import NULL_ID, doc_buckets, named_documents, packed_documents, text_bytes, window_bits
+from .blocks import NULL_ID, doc_bucket, doc_buckets, named_documents, packed_documents, text_bytes, window_bits
 from .common import in_batches, materialize, workers_see_package
 
 WINDOW = 13
@@ -75,11 +75,11 @@ def edges(named: DataFrame, width: int, bits: int, buckets: int, wide: bool = Fa
 
 def settled_blocks(ids, tags, pos, source_ids, source_tags, source_pos, buckets):
     """(doc_bucket, block) of edges with their sources; positions as steps, sources relative."""
-    from .blocks import by_bucket, pack
+    from .blocks import by_bucket, doc_places, pack
 
     order = np.lexsort((pos, tags, ids))
     ids, tags, pos, source_ids, source_tags, source_pos = (x[order] for x in (ids, tags, pos, source_ids, source_tags, source_pos))
-    for bucket, k in by_bucket((ids % buckets).astype(np.int32)):
+    for bucket, k in by_bucket(doc_places(ids, tags, buckets)):
         p = pos[k].astype(np.int64)
         step = lambda x: np.diff(x, prepend=np.zeros(1, x.dtype))
         yield bucket, pack(step(ids[k]), tags[k], step(p), step(source_ids[k]), source_tags[k], step(source_pos[k].astype(np.int64) - p))
@@ -174,7 +174,7 @@ def span_digests(packed: DataFrame, wanted: DataFrame) -> DataFrame:
 def unverified(packed: DataFrame, spans: DataFrame, buckets: int) -> DataFrame:
     """Spans whose words differ from their source's; none, unless hashes collide."""
     own = spans.select("doc_bucket", "doc_id", "tag", "start", "n_words")
-    source = spans.select(F.pmod("source_id", F.lit(buckets)).cast("int").alias("doc_bucket"), F.col("source_id").alias("doc_id"), F.col("source_tag").alias("tag"), F.col("source_start").alias("start"), "n_words").distinct()
+    source = spans.select(doc_bucket("source_id", "source_tag", buckets).alias("doc_bucket"), F.col("source_id").alias("doc_id"), F.col("source_tag").alias("tag"), F.col("source_start").alias("start"), "n_words").distinct()
     digests = materialize(span_digests(packed, own.unionByName(source)).groupBy("doc_id", "tag", "start", "n_words").agg(F.first("digest").alias("digest")))
     of_source = digests.select(F.col("doc_id").alias("source_id"), F.col("tag").alias("source_tag"), F.col("start").alias("source_start"), "n_words", F.col("digest").alias("source_digest"))
     checked = spans.join(digests, ["doc_id", "tag", "start", "n_words"], "left").join(of_source, ["source_id", "source_tag", "source_start", "n_words"], "left")

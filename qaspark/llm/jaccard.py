@@ -6,16 +6,18 @@ differ by few counts.
 
 1. Documents with one set of shingles are one node, named by 64 bits of a hash of the set; a second hash
    must agree, else an error is raised.
-2. The tree's upper levels are equal blocks of coordinates: in a class of sizes the point is cut into more
-   blocks than linked documents can differ in, so they share a block, counts and all. Blocks are named by a
-   hash of their counts and meet in a shuffle. The documents that share a block (each set of documents once)
-   are searched breadth first: those whose bound of the overlap allows a link are connected by one candidate
-   link each, never by a pair for any two. Components of candidates hold every pair that can be linked.
-3. Within components, points are packed into leaves by size; leaves with sizes that can match are joined,
-   small components many to a task, large ones leaf by leaf in blocks. A tree of boxes bounds the overlap
-   of a point and a box, then of two points; what survives is verified on the sets of shingle hashes (64
-   bits each). Pairs that links found before connect are passed over; no other pair is. `links` and
-   `join(..., count_links=True)` verify those too.
+2. The tree's upper levels cut the coordinates into blocks of BLOCK_GROUPS. In a class of sizes there are more
+   blocks than coordinates that linked points can differ in, so linked points have the same counts in one block
+   at least. A block of a point is named by a hash of its counts, a sum over its coordinates, so equal counts
+   have equal names; points with one name meet in a shuffle. Those that share a block (each node once) are
+   searched breadth first: those whose bound of the overlap allows a link are connected by one candidate link
+   each, never by a pair for any two. Components of candidates hold every pair that can be linked.
+3. Within components, points are packed into leaves by size, small components many to a task. A tree of boxes
+   bounds the overlap of a point and a box, then of two points; what survives is verified on the sets of
+   shingle hashes (64 bits each). Pairs that links found before connect are passed over; no other pair is. Of a
+   large component each leaf is verified by itself, together with a few points that all leaves get; most leaves
+   are connected then, and only what is not is held against the other leaves. `links` and
+   `join(..., count_links=True)` verify every pair of leaves.
 
 Defined results. Null or empty text, or only white space: no shingles, linked with nothing, in a component of its own.
 Fewer words than a shingle: the whole sequence is one. Null doc_id: larger than every other; the
@@ -26,10 +28,10 @@ node. Empty table: no rows. Extra columns are ignored.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .blocks import NULL_ID, doc_buckets, named_documents, packed_documents, text_bytes, window_bits
+from .blocks import NULL_ID, doc_bucket, doc_buckets, named_documents, packed_documents, text_bytes, window_bits
 from .common import in_batches, materialize
 from .components import components, stars
 
@@ -38,6 +40,10 @@ SHINGLE, PERCENT = 4, 85
 LEAST_GROUPS, MOST_GROUPS, SPARSE = 32, 1 << 14, 8
 #: Points of a box, nodes of a leaf, rows of shared blocks that one task searches.
 BOX, LEAF, SEARCHED = 32, 1024, 1 << 14
+#: Points of a band of sizes that each leaf of a large component is verified with.
+PIVOTS = 4
+#: Coordinates of one block.
+BLOCK_GROUPS = 1 << 32
 #: Ways to cut points into blocks that are tried before a document goes to the block of those without.
 SEEDS = 4
 _SALT = np.uint64(0xA0761D6478BD642F)
@@ -142,8 +148,9 @@ def _cut(h, first, live, classes, seed, percent):
     of = np.repeat(np.arange(len(live)), size)
     value = mix(h[at] + np.uint64((seed + 1) * int(_SALT) & (1 << 64) - 1))
     slot = start[of] + (value % blocks[of].astype(np.uint64)).astype(np.int64)
+    group = value >> np.uint64(64 - (BLOCK_GROUPS - 1).bit_length())  # the block's coordinate that the shingle counts in
     counts = np.zeros(start[-1], np.uint64)
-    np.add.at(counts, slot, mix(value ^ _SALT))
+    np.add.at(counts, slot, mix(group ^ _SALT))  # the sum of count times hash of coordinate: a hash of the counts
     any_ = np.bincount(slot, minlength=start[-1]) > 0
     slots = np.flatnonzero(any_)
     owner = np.searchsorted(start, slots, "right") - 1
@@ -377,29 +384,78 @@ def taken(h: np.ndarray, first: np.ndarray, node: np.ndarray, keep: np.ndarray)
     return h[np.repeat(keep, size)], np.concatenate([[0], np.cumsum(size[keep])]), node[keep]
 
 
-def units(candidates: DataFrame, nodes: DataFrame, percent: int, buckets: int) -> DataFrame:
-    """(doc_bucket, doc_id, tag, node, component, unit, side): which documents meet in which task.
+PLACED = ("doc_bucket", "doc_id", "tag", "node", "component", "unit", "side")
 
-    Components of up to LEAF nodes share units. Larger ones are cut into leaves by size band (linked sizes
-    are at most one band apart) and hash; a unit joins two leaves (side 0 and 1), or one with itself.
+
+def in_leaves(placed: DataFrame, by: list[str]) -> DataFrame:
+    """Nodes with `chunk`: which leaf of their group (component, band and what else `by` has) they are in."""
+    chunks = materialize(placed.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / LEAF).cast("int").alias("chunks")))
+    return placed.join(chunks, by).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+
+
+def leaf_pairs(some: DataFrame, every: DataFrame) -> DataFrame:
+    """Units that hold a leaf of `some` (side 0) against a leaf of `every` (side 1) of its size band or the next
+    one up or down; linked sizes are at most one band apart. A leaf meets itself on one side.
     """
-    placed = materialize(candidates.join(nodes, "node"))
+    mine = some.select("component", "band", "chunk").distinct()
+    theirs = every.select("component", F.col("band").alias("band2"), F.col("chunk").alias("chunk2")).distinct()
+    near = mine.withColumn("band2", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))).join(theirs, ["component", "band2"])
+    near = near.withColumn("unit", F.concat_ws("_", "component", "band", "chunk", "band2", "chunk2"))
+    return near
+
+
+def with_units(nodes: DataFrame, leaves: DataFrame, prefix: str, side: int) -> DataFrame:
+    """The nodes of each unit's leaf, as `verified_links` takes them."""
+    return nodes.join(leaves, ["component", "band", "chunk"]).withColumn("unit", F.concat(F.lit(prefix), F.col("unit"))).withColumn("side", F.lit(side)).select(*PLACED)
+
+
+def banded(candidates: DataFrame, nodes: DataFrame, percent: int, buckets: int) -> tuple[DataFrame, DataFrame]:
+    """The nodes of components of up to LEAF nodes, and those of larger ones, with size band and doc bucket."""
     band = F.floor(F.log(F.col("n").cast("double")) / (float(np.log(100 / percent)) + 1e-9)).cast("int")
-    placed = placed.withColumn("band", band).withColumn("doc_bucket", F.pmod("doc_id", F.lit(buckets)).cast("int"))
+    placed = materialize(candidates.join(nodes, "node").withColumn("band", band).withColumn("doc_bucket", doc_bucket("doc_id", "tag", buckets)))
     sizes = placed.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    bins = max(16, placed.count() // (LEAF // 2)) | 1
-    small = placed.join(sizes.filter(F.col("size") <= LEAF), "component", "left_semi")
-    small = small.select("doc_bucket", "doc_id", "tag", "node", "component", F.concat(F.lit("s"), F.pmod(F.xxhash64("component"), F.lit(bins))).alias("unit"), F.lit(0).alias("side"))
-    large = placed.join(sizes.filter(F.col("size") > LEAF).select("component"), "component", "left_semi")
-    chunks = materialize(large.groupBy("component", "band").agg(F.ceil(F.count(F.lit(1)) / LEAF).cast("int").alias("chunks")))
-    leaves = chunks.select("component", "band", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
-    other = leaves.select("component", F.col("band").alias("band2"), F.col("chunk").alias("chunk2"))
-    near = leaves.join(other.withColumn("band", F.col("band2")), ["component", "band"]).filter("chunk <= chunk2").unionByName(leaves.join(other.withColumn("band", F.col("band2") - 1), ["component", "band"]))
-    unit = F.concat_ws("_", F.lit("l"), "component", "band", "chunk", "band2", "chunk2")
-    joint = near.withColumn("unit", unit).select("component", "unit", F.explode(F.array_distinct(F.array(F.struct("band", "chunk", F.lit(0).alias("side")), F.struct(F.col("band2").alias("band"), F.col("chunk2").alias("chunk"), ((F.col("band2") != F.col("band")) | (F.col("chunk2") != F.col("chunk"))).cast("int").alias("side"))))).alias("leaf")).select("component", "unit", "leaf.*")
-    large = large.join(chunks, ["component", "band"]).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    large = large.join(joint, ["component", "band", "chunk"]).select("doc_bucket", "doc_id", "tag", "node", "component", "unit", "side")
-    return small.unionByName(large)
+    few = sizes.filter(F.col("size") <= LEAF).select("component")
+    return placed.join(few, "component", "left_semi"), materialize(placed.join(few, "component", "left_anti"))
+
+
+def small_units(small: DataFrame) -> DataFrame:
+    """Whole components, many to a unit."""
+    bins = max(16, small.count() // (LEAF // 2)) | 1
+    return small.withColumn("unit", F.concat(F.lit("s"), F.pmod(F.xxhash64("component"), F.lit(bins)))).withColumn("side", F.lit(0)).select(*PLACED)
+
+
+def every_unit(large: DataFrame) -> DataFrame:
+    """Each leaf against each leaf of its band and the next one, and against itself."""
+    leaved = materialize(in_leaves(large, ["component", "band"]))
+    pairs = leaf_pairs(leaved, leaved).filter("band < band2 OR band = band2 AND chunk <= chunk2")
+    other = pairs.filter("band <> band2 OR chunk <> chunk2").select("component", F.col("band2").alias("band"), F.col("chunk2").alias("chunk"), "unit")
+    return with_units(leaved, pairs.select("component", "band", "chunk", "unit"), "l", 0).unionByName(with_units(leaved, other, "l", 1))
+
+
+def first_units(large: DataFrame) -> DataFrame:
+    """Each leaf with the PIVOTS first points of its band and of the next ones: what most of a component is like."""
+    leaved = materialize(in_leaves(large, ["component", "band"]))
+    own = leaved.select("component", "band", "chunk").distinct().withColumn("unit", F.concat_ws("_", "component", "band", "chunk"))
+    rank = F.row_number().over(Window.partitionBy("component", "band").orderBy("node"))
+    heads = leaved.groupBy("component", "band", F.pmod(F.xxhash64("node", F.lit(1)), F.lit(64)).alias("part")).agg(F.min("node").alias("node"))  # 64 rows of a band at most
+    heads = heads.withColumn("rank", rank).filter(F.col("rank") <= PIVOTS).select("node")
+    pivots = leaved.join(heads, "node", "left_semi")
+    near = own.withColumn("to", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))).select("component", F.col("to").alias("band"), "unit")
+    guests = pivots.join(near, ["component", "band"]).withColumn("unit", F.concat(F.lit("f"), "unit")).withColumn("side", F.lit(0)).select(*PLACED)
+    return with_units(leaved, own, "f", 0).unionByName(guests).distinct()
+
+
+def rest_units(large: DataFrame, found: DataFrame) -> DataFrame:
+    """Of a large component what no link connects with its largest part yet, against all its leaves."""
+    labels = components(found).select("node", "label")
+    parts = materialize(large.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    sizes = parts.groupBy("component", "label").agg(F.count(F.lit(1)).alias("size"))
+    main = sizes.groupBy("component").agg(F.max_by("label", F.struct("size", "label")).alias("label"))
+    rest = in_leaves(parts.join(main, ["component", "label"], "left_anti").drop("label"), ["component", "band"])
+    rest, leaved = materialize(rest), materialize(in_leaves(large, ["component", "band"]))
+    pairs = materialize(leaf_pairs(rest, leaved))
+    other = pairs.select("component", F.col("band2").alias("band"), F.col("chunk2").alias("chunk"), "unit")
+    return with_units(rest, pairs.select("component", "band", "chunk", "unit"), "r", 0).unionByName(with_units(leaved, other, "r", 1))
 
 
 def verified_links(packed: DataFrame, placed: DataFrame, shingle: int, percent: int, every: bool = False) -> DataFrame:
@@ -460,8 +516,16 @@ def linked_nodes(docs: DataFrame, shingle: int, percent: int, id_col: str, text_
     found = candidate_links(shared_blocks(named, shingle, percent, bits), nodes, percent)
     nodes = nodes.drop("point")
     candidates = components(found).select("node", F.col("label").alias("component"))
-    placed = materialize(units(candidates, nodes, percent, buckets))
-    found = materialize(verified_links(packed_documents(named, buckets), placed, shingle, percent, every))
+    small, large = banded(candidates, nodes, percent, buckets)
+    packed = packed_documents(named, buckets)
+    placed = materialize(small_units(small).unionByName(every_unit(large) if every else first_units(large)))
+    found = materialize(verified_links(packed, placed, shingle, percent, every))
+    if not every and not large.isEmpty():
+        placed = materialize(rest_units(large, found))
+        if not placed.isEmpty():
+            wanted = placed.select("doc_id", "tag").distinct()
+            named = named.withColumn("doc_id", F.coalesce("doc_id", F.lit(NULL_ID))).join(wanted, ["doc_id", "tag"], "left_semi")
+            found = found.unionByName(materialize(verified_links(packed_documents(named, buckets), placed, shingle, percent)))
     return measured, nodes, found
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from qaspark.llm import bytebpe, curriculum, debruijn, extendible, jaccard, langid, linededup, registry, syncmers, tokencount, webp
-from qaspark.llm.components import components, stars
+from qaspark.llm.components import components, contracted, stars
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, row string, node string, part string, key string"
 
@@ -142,8 +142,9 @@ def test_op6_brute_force(spark):
     assert got[7].next_text == texts[6] and got[0].next_text == ""
 
 
-@pytest.mark.parametrize(("shingle", "percent"), [(4, 85), (5, 80), (1, 60)])
-def test_op7_brute_force(spark, shingle, percent):
+@pytest.mark.parametrize(("shingle", "percent", "leaf"), [(4, 85, jaccard.LEAF), (5, 80, 3), (1, 60, jaccard.LEAF), (1, 60, 2)])
+def test_op7_brute_force(spark, monkeypatch, shingle, percent, leaf):
+    monkeypatch.setattr(jaccard, "LEAF", leaf)
     rnd = random.Random(shingle)
     texts = []
     for _ in range(12):
@@ -193,6 +194,28 @@ def test_op7_counts_links(spark, monkeypatch, leaf):
     assert len(found) == len(want) and set(found) == {(rows[a][0], rows[b][0]) for a, b in want}
 
 
+def test_op7_large_group(spark):
+    """Thousands of near copies: candidate links contract to one a node, and one document of the group stays."""
+    rnd = random.Random(6)
+    base = [str(rnd.randrange(900)) for _ in range(150)]
+    texts = {" ".join(w if rnd.random() > 0.006 else f"z{rnd.randrange(9)}" for w in base) for _ in range(3000)}
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(sorted(texts))], "doc_id long, text string")
+    named = docs.selectExpr("doc_id", "0L AS tag", "text")
+    nodes = jaccard.classes_of(named, 5).groupBy("node").agg(F.min("n").alias("n"), F.first("point").alias("point"))
+    found = jaccard.candidate_links(jaccard.shared_blocks(named, 5, 80, 8), nodes, 80)
+    forest = contracted(found)
+    assert forest.count() < len(texts) and forest.count() == forest.select("node").distinct().count()
+    assert jaccard.join(docs, 5, 80).select("component_id").distinct().count() < len(texts) // 100
+
+
+def test_components_of_chains(spark):
+    rnd = random.Random(9)
+    places = list(range(200))
+    rnd.shuffle(places)
+    for pairs in ([(k, k + 1) for k in range(199)], [(200 - k, 199 - k) for k in range(199)], list(zip(places, places[1:])), [(500, k) for k in range(99)]):
+        assert {r.label for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()} == {min(map(min, pairs))}
+
+
 def test_components(spark):
     rng = np.random.default_rng(1)
     pairs = rng.integers(0, 60, (40, 2))
