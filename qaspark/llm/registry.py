@@ -118,11 +118,13 @@ FROM l LEFT JOIN k ON l.doc_id = k.doc_id"""
 def op6_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = syncmers.with_next(documents(spark, sf_dir))
     marked = marked.withColumn("edited", syncmers.edited(F.col("text"), F.col("next_text")))
-    marked = syncmers.with_fingerprint(syncmers.with_hashes(marked, F.col("edited"), "edited_words"), "edited_words", "edited_sketch")
+    marked = syncmers.with_fingerprint(syncmers.with_hashes(marked, F.col("edited"), "_edited"), "_edited", "edited_sketch")
+    marked = syncmers.with_likeness(marked, "sketch", "edited_sketch", "near_edited")
+    marked = syncmers.with_likeness(marked, "sketch", "next_sketch", "near_next")
     return marked.select(
         "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
         syncmers.as_string(F.col("sketch")).alias("fingerprint"), syncmers.as_string(F.col("edited_sketch")).alias("edited_fingerprint"),
-        syncmers.likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"), syncmers.likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+        "near_edited", "near_next",
     )
 
 

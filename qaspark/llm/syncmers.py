@@ -1,15 +1,20 @@
-"""Document fingerprints from closed syncmers, with DataFrame functions only.
-
-A run of K words is an anchor if the smallest hash among its inner runs of S words lies at its first or
-last place. Whether a run is an anchor depends on its own words alone, so shared passages give shared
-anchors wherever they stand. The fingerprint is the sorted sketch of the SKETCH smallest anchor hashes,
-all words of the text being read; likeness is the Jaccard estimate of two sketches: of the SKETCH
-smallest hashes of both together, the share that both have.
-
-Defined results. Null text: as empty. No words: the fingerprint is '' and is like only another ''
-(likeness 1). Fewer than K words, or no anchor: one anchor, the hash of the whole sequence. Ties of the
-smallest inner hash count as an edge if an edge place has it. Null doc_id: after all others in the
-order of successors. Equal doc_ids stand in order of text. Empty table: no rows.
+"""Document fingerprints from closed syncmers and their places, with DataFrame functions only.
+
+A run of K tokens is an anchor if the smallest hash among its inner runs of S tokens lies at its first or last
+place. Whether a run is an anchor depends on its own tokens alone, so shared passages give shared anchors wherever
+they stand. Tokens are words; characters of scripts that are written without spaces are tokens of their own. Texts
+of fewer than SHORT tokens have the anchors of their code points too, so that short edited texts share some.
+
+An anchor is one number: HASH_BITS of its hash, then its place (its first token's, PLACE_BITS; places go round
+beyond 16.7 million tokens). The fingerprint holds the SKETCH smallest anchors, each hash with its first place; all
+tokens of the text are read. `with_likeness` matches by place: shared anchors count if they stand at the same place,
+or if another shared anchor is shifted as far. Of the SKETCH smallest hashes of both texts together it gives the
+share that match so: an estimate of the Jaccard likeness of anchors, less what is shared by chance.
+
+Defined results. Null text: as empty. No tokens: the fingerprint is '' and is like only another '' (likeness 1).
+Fewer than K tokens and code points, or no anchor: one anchor, the hash of the whole sequence. Ties of the smallest
+inner hash count as an edge if an edge place has it. Null doc_id: after all others in the order of successors. Equal
+doc_ids stand in order of text. Empty table: no rows. Equal texts have equal fingerprints, with likeness 1.
 """
 
 from __future__ import annotations
@@ -20,18 +25,41 @@ from pyspark.sql import functions as F
 from .common import words
 
 K, S, SKETCH = 5, 2, 128
+SHORT = 64
+#: 39 bits of hash, 24 of place: one bit is left to tell two texts apart.
+HASH_BITS, PLACE_BITS = 39, 24
 #: Ranges of doc_id in which a window finds successors: one for so many rows, within these limits.
 ROWS_A_RANGE, LEAST_RANGES, MOST_RANGES = 20_000, 256, 1 << 16
+#: Characters of scripts without spaces between words.
+UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}"
+
+
+def tokens(text: Column) -> Column:
+    """Words, and single characters of scripts without spaces."""
+    mixed = F.regexp_extract_all(text, F.lit(rf"[{UNSPACED}]|[^\x20\x09-\x0D{UNSPACED}]+"), F.lit(0))
+    return F.when(F.coalesce(text, F.lit("")).rlike(f"[{UNSPACED}]"), mixed).otherwise(words(text))
 
 
 def with_hashes(df: DataFrame, text: Column, out: str) -> DataFrame:
-    """Add `out`: the hashes of the text's words."""
-    return df.withColumn(out, F.transform(words(text), lambda w: F.xxhash64(w)))
+    """Add `out`, the hashes of the text's tokens, and `<out>_chars`, those of a short text's code points."""
+    df = df.withColumn(out, F.transform(tokens(text), lambda w: F.xxhash64(w)))
+    points = F.filter(F.split(F.coalesce(text, F.lit("")), ""), lambda c: c != "")
+    short = F.when(F.size(out) < SHORT, F.transform(points, lambda c: F.xxhash64(c, F.lit(1)))).otherwise(F.array().cast("array<bigint>"))
+    return df.withColumn(f"{out}_chars", short)
 
 
-def with_fingerprint(df: DataFrame, hashes: str, out: str, k: int = K, s: int = S, sketch: int = SKETCH) -> DataFrame:
-    """Add `out`: the sorted array of the smallest anchor hashes, from the word hashes in `hashes`."""
-    h, inner, places = F.col(hashes), f"_{out}_inner", f"_{out}_places"
+def packed(hash_: Column, place: Column) -> Column:
+    """An anchor's hash and place as one number; numbers are in order of the hash."""
+    return F.shiftright(hash_, 64 - HASH_BITS) * F.lit(1 << PLACE_BITS) + place.cast("long").bitwiseAND(F.lit((1 << PLACE_BITS) - 1).cast("long"))
+
+
+def hash_of(anchor: Column) -> Column:
+    return F.shiftright(anchor, PLACE_BITS)
+
+
+def with_anchors(df: DataFrame, hashes: str, out: str, k: int = K, s: int = S) -> DataFrame:
+    """Add `out`: the packed anchors of a sequence of hashes, in order of place."""
+    h, inner = F.col(hashes), f"_{out}_inner"
     runs = F.slice(h, 1, F.greatest(F.size(h) - (s - 1), F.lit(0)))
     df = df.withColumn(inner, F.transform(runs, lambda x, i: F.xxhash64(x, *(F.get(h, i + j) for j in range(1, s)))))
     last = k - s
@@ -41,19 +69,40 @@ def with_fingerprint(df: DataFrame, hashes: str, out: str, k: int = K, s: int =
     def anchor(x: Column, i: Column) -> Column:
         edge = F.least(x, at(i, last))
         middle = F.least(*(at(i, j) for j in range(1, last))) if last > 2 else at(i, 1)
-        return F.when(edge <= middle, F.xxhash64(*(F.get(h, i + j) for j in range(k))))
+        return F.when(edge <= middle, packed(F.xxhash64(*(F.get(h, i + j) for j in range(k))), i))
 
-    df = df.withColumn(places, F.array_compact(F.transform(firsts, anchor)))
-    whole = F.when(F.size(h) == 0, F.array().cast("array<bigint>")).otherwise(F.array(F.xxhash64(h)))
-    anchors = F.when(F.size(places) == 0, whole).otherwise(F.col(places))
-    return df.withColumn(out, F.slice(F.sort_array(F.array_distinct(anchors)), 1, sketch)).drop(inner, places)
+    return df.withColumn(out, F.array_compact(F.transform(firsts, anchor))).drop(inner)
 
 
-def likeness(a: Column, b: Column, sketch: int = SKETCH) -> Column:
-    """Jaccard estimate of two sketches, 0 to 1; two empty ones are alike."""
-    both = F.slice(F.sort_array(F.array_union(a, b)), 1, sketch)
-    shared = F.size(F.array_intersect(both, F.array_intersect(a, b)))
-    return F.when(F.size(both) == 0, F.lit(1.0)).otherwise(shared / F.size(both))
+def with_fingerprint(df: DataFrame, hashes: str, out: str, k: int = K, s: int = S, sketch: int = SKETCH) -> DataFrame:
+    """Add `out`: the sorted array of the smallest packed anchors, from `with_hashes`; drops the hashes."""
+    own, chars, every = f"_{out}_own", f"_{out}_chars", f"_{out}_every"
+    df = with_anchors(with_anchors(df, hashes, own, k, s), f"{hashes}_chars", chars, k, s)
+    both = F.concat(own, chars)
+    whole = F.when(F.size(hashes) == 0, F.array().cast("array<bigint>")).otherwise(F.array(packed(F.xxhash64(hashes), F.lit(0))))
+    df = df.withColumn(every, F.sort_array(F.when(F.size(both) == 0, whole).otherwise(both)))
+    first = F.filter(every, lambda x, i: (i == 0) | (hash_of(x) != hash_of(F.get(every, i - 1))))
+    return df.withColumn(out, F.slice(first, 1, sketch)).drop(own, chars, every, hashes, f"{hashes}_chars")
+
+
+def with_likeness(df: DataFrame, a: str, b: str, out: str, sketch: int = SKETCH) -> DataFrame:
+    """Add `out`: how alike two fingerprints are, 0 to 1, by anchors that match in place; two empty ones are alike."""
+    marks, offsets, union = f"_{out}_marks", f"_{out}_offsets", f"_{out}_union"
+    side = lambda array, of: F.transform(array, lambda v: v * 2 + of)
+    df = df.withColumn(marks, F.sort_array(F.concat(side(F.col(a), 0), side(F.col(b), 1))))
+    df = df.withColumn(union, F.slice(F.array_distinct(F.transform(marks, lambda m: F.shiftright(m, PLACE_BITS + 1))), 1, sketch))
+    largest = F.get(union, F.size(union) - 1)
+    place = lambda m: F.shiftright(m, 1).bitwiseAND(F.lit((1 << PLACE_BITS) - 1).cast("long"))
+
+    def offset(m: Column, i: Column) -> Column:
+        nxt, h = F.get(marks, i + 1), F.shiftright(m, PLACE_BITS + 1)
+        shared = (h == F.shiftright(nxt, PLACE_BITS + 1)) & (h <= largest)  # one from each text
+        return F.when(shared, (place(m) - place(nxt)) * (1 - 2 * m.bitwiseAND(F.lit(1).cast("long"))))
+
+    df = df.withColumn(offsets, F.sort_array(F.array_compact(F.transform(marks, offset))))
+    agrees = lambda o, i: (o == 0) | F.coalesce(o == F.get(offsets, i - 1), F.lit(False)) | F.coalesce(o == F.get(offsets, i + 1), F.lit(False))
+    share = F.size(F.filter(offsets, agrees)) / F.size(union)
+    return df.withColumn(out, F.when(F.size(union) == 0, F.lit(1.0)).otherwise(share)).drop(marks, offsets, union)
 
 
 def as_string(sketch: Column) -> Column:
@@ -63,7 +112,7 @@ def as_string(sketch: Column) -> Column:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """Add the sketch of `text` to (doc_id, text, ...)."""
-    return with_fingerprint(with_hashes(docs, F.col("text"), "words"), "words", "sketch").drop("words")
+    return with_fingerprint(with_hashes(docs, F.col("text"), "_words"), "_words", "sketch")
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranges: int | None = None) -> DataFrame:
@@ -84,11 +133,13 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     tops = dealt.groupBy("part").agg(F.max(lowest).alias("top"))  # at most MOST_RANGES + 1 rows
     heads = dealt.withColumn("top", lowest).join(F.broadcast(tops), ["part", "top"])
     heads = fingerprints(heads.groupBy("part").agg(F.min("text").alias("text")))
-    ring = Window.orderBy(F.col("part").desc())
+    ring = Window.orderBy(F.col("part").desc())  # numbers of ranges, no texts
+    following = tops.select("part", F.coalesce(F.lead("part").over(ring), F.first("part").over(ring)).alias("then"))
     head = F.struct("text", "sketch")
-    after = heads.select("part", F.coalesce(F.lead(head).over(ring), F.first(head).over(ring)).alias("after"))
+    after = following.join(heads.select(F.col("part").alias("then"), head.alias("after")), "then").select("part", "after")
     inside = Window.partitionBy("part").orderBy(F.col("doc_id").desc_nulls_last(), F.col("text"))
-    follows = fingerprints(dealt).withColumn("_next", F.lead(head).over(inside))
+    # dealt by range: parts in a row go to one task, so that tasks are alike; sketches are made behind the shuffle
+    follows = fingerprints(dealt.repartitionByRange("part")).withColumn("_next", F.lead(head).over(inside))
     nxt = F.coalesce("_next", "after")
     return follows.join(after, "part").select("doc_id", "text", "sketch", nxt["text"].alias("next_text"), nxt["sketch"].alias("next_sketch"))
 

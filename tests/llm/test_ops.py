@@ -115,31 +115,82 @@ def test_op5_merges(spark):
     assert {r[0]: (r[1], r[2]) for r in got} == {1: (0, "a\nb\nc\nd"), 2: (4, "x\ny"), 3: (3, ""), 4: (0, None), 5: (3, "q\nr"), None: (3, "")}
 
 
-def test_op6_brute_force(spark):
+def signed(n):
+    return n - (1 << 64) if n >> 63 else n
+
+
+def long_hash(values, seed=42):
+    import xxhash
+
+    for v in values:
+        seed = xxhash.xxh64_intdigest((v & (1 << 64) - 1).to_bytes(8, "little"), seed)
+    return signed(seed)
+
+
+def text_hash(text, more=()):
     import xxhash
 
-    def signed(n):
-        return n - (1 << 64) if n >> 63 else n
+    seed = xxhash.xxh64_intdigest(text.encode(), 42)
+    for v in more:
+        seed = xxhash.xxh64_intdigest(v.to_bytes(4, "little"), seed)
+    return signed(seed)
+
+
+def anchors(h):
+    inner = [long_hash(h[i : i + 2]) for i in range(len(h) - 1)]
+    return [(long_hash(h[i : i + 5]) >> 25, i) for i in range(len(h) - 4) if min(inner[i], inner[i + 3]) <= min(inner[i + 1 : i + 3])]
+
+
+def fingerprint(text):
+    """{hash: first place} of the smallest anchors, by loops."""
+    unspaced = lambda c: "\u4e00" <= c <= "\u9fff"
+    tokens = "".join(f" {c} " if unspaced(c) else c for c in text).split()
+    h = [text_hash(w) for w in tokens]
+    found = anchors(h) + (anchors([text_hash(c, (1,)) for c in text]) if len(h) < syncmers.SHORT else [])
+    first = {}
+    for x, place in found or ([(long_hash(h) >> 25, 0)] if h else []):
+        first[x] = min(place, first.get(x, place))
+    return dict(sorted(first.items())[: syncmers.SKETCH])
+
 
-    def long_hash(values):
-        seed = 42
-        for v in values:
-            seed = xxhash.xxh64_intdigest((v & (1 << 64) - 1).to_bytes(8, "little"), seed)
-        return signed(seed)
+def same(a, b):
+    union = sorted({*a, *b})[: syncmers.SKETCH]
+    offsets = [a[x] - b[x] for x in union if x in a and x in b]
+    return 1.0 if not union else sum(o == 0 or offsets.count(o) > 1 for o in offsets) / len(union)
 
-    def sketch(text):
-        h = [signed(xxhash.xxh64_intdigest(w.encode(), 42)) for w in text.split()]
-        inner = [long_hash(h[i : i + 2]) for i in range(len(h) - 1)]
-        found = {long_hash(h[i : i + 5]) for i in range(len(h) - 4) if min(inner[i], inner[i + 3]) <= min(inner[i + 1 : i + 3])}
-        return sorted(found or ({long_hash(h)} if h else set()))[: syncmers.SKETCH]
 
+def test_op6_brute_force(spark, tmp_path):
     rnd = random.Random(2)
-    texts = [" ".join(str(rnd.randrange(9)) for _ in range(n)) for n in (0, 1, 4, 5, 9, 60, 400)] + [None]
+    texts = [" ".join(str(rnd.randrange(9)) for _ in range(n)) for n in (0, 1, 4, 5, 9, 60, 63, 64, 400, 9000)]
+    texts += [None, "漢字仮名交文" * 30 + " x", "漢字仮名交文" * 3, "a b", "lorem ipsum dolor sit amet " * 40, " \n", texts[8], "é🙂" * 9]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r for r in syncmers.with_next(docs, ranges=3).collect()}
+    unpack = lambda s: {x >> 24: x & (1 << 24) - 1 for x in s}
     for i, t in enumerate(texts):
-        assert got[i].sketch == sketch(t or "") and got[i].next_text == (texts[i - 1] or "")
-    assert got[7].next_text == texts[6] and got[0].next_text == ""
+        assert unpack(got[i].sketch) == fingerprint(t or ""), t
+        assert got[i].next_text == (texts[i - 1] or "")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for r in registry.op6_syncmers(spark, str(tmp_path)).collect():
+        text, nxt = texts[r.doc_id] or "", texts[r.doc_id - 1] or ""
+        half = len(text) // 2
+        edited = text[: len(text) - half] + nxt[:half]
+        assert (r.n_chars, r.edited_sha256) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
+        assert r.near_edited == pytest.approx(same(fingerprint(text), fingerprint(edited)))
+        assert r.near_next == pytest.approx(same(fingerprint(text), fingerprint(nxt)))
+
+
+def test_op6_matches_by_place(spark):
+    rnd = random.Random(7)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(5))
+    base, other = [word() for _ in range(300)], [word() for _ in range(300)]
+    pairs = [(base, base), (base, ["new", *base]), (base, other), (base, base[:150] + other[:150]), (base, other[:100] + base[100:200] + other[100:200])]
+    rows = [(k, " ".join(a), " ".join(b)) for k, (a, b) in enumerate(pairs)]
+    df = spark.createDataFrame(rows, "k int, a string, b string")
+    for c in "ab":
+        df = syncmers.with_fingerprint(syncmers.with_hashes(df, F.col(c), f"_{c}"), f"_{c}", f"{c}s")
+    got = [r.likeness for r in syncmers.with_likeness(df, "as", "bs", "likeness").orderBy("k").collect()]
+    assert got[0] == 1 and got[1] > 0.95 and got[2] == 0
+    assert abs(got[3] - 1 / 3) < 0.15 and abs(got[4] - 1 / 5) < 0.15  # the true Jaccard likeness; 128 anchors err by 0.04 or so
 
 
 @pytest.mark.parametrize(("shingle", "percent", "leaf"), [(4, 85, jaccard.LEAF), (5, 80, 3), (1, 60, jaccard.LEAF), (1, 60, 2)])
