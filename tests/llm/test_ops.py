@@ -109,6 +109,63 @@ def test_op4_brute_force(rows, docs):
     assert sorted(map(tuple, got.collect()), key=str) == windows_removed(rows)
 
 
+def unitigs(texts, width):
+    """Edges (windows of several documents) by nonbranching path, by following every document."""
+    split = [t.split() for t in texts]
+    windows = [[tuple(w[k : k + width]) for k in range(len(w) - width + 1)] for w in split]
+    holders = {}
+    for i, ws in enumerate(windows):
+        for w in ws:
+            holders.setdefault(w, set()).add(i)
+    out, into = {}, {}
+    for ws in windows:
+        for a, b in zip(ws, ws[1:]):
+            if len(holders[a]) > 1 and len(holders[b]) > 1:
+                out.setdefault(a, set()).add(b)
+                into.setdefault(b, set()).add(a)
+    edges_ = {w for w, h in holders.items() if len(h) > 1}
+    next_ = {a: next(iter(bs)) for a, bs in out.items() if len(bs) == 1 and len(into[next(iter(bs))]) == 1}
+    starts = edges_ - set(next_.values())
+    paths = set()
+    for e in starts:
+        path = [e]
+        while path[-1] in next_:
+            path.append(next_[path[-1]])
+        paths.add(tuple(path))
+    return paths
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_op4_nonbranching_paths(spark, parts):
+    rnd = random.Random(11)
+    names = iter(range(10**6))
+    make = lambda n: [f"w{next(names)}" for _ in range(n)]
+    x, y, z, u = make(30), make(25), make(40), make(20)
+    docs_ = [make(5) + x + make(5), y + make(3), x + y, x + y + z, make(4) + z[:20] + u, z + make(2), x[5:25] + make(3) + u, u + x, x + y]
+    docs_ += [[w if rnd.random() > 0.05 else f"n{next(names)}" for w in x + z] for _ in range(12)]
+    texts = [" ".join(d) for d in docs_]
+    order = list(range(len(texts)))
+    rnd.shuffle(order)
+    df = spark.createDataFrame([(i, texts[i]) for i in order], "doc_id long, text string").repartition(parts)
+    width = 6
+    got = {}
+    for r in debruijn.repeated_paths(df, width).collect():
+        words = docs_[r["id"]]
+        got.setdefault(tuple(r["path"]), []).extend(tuple(words[r["at"] + k : r["at"] + k + width]) for k in range(r["n_edges"]))
+    want = unitigs(texts, width)
+    assert {frozenset(p) for p in got.values()} == {frozenset(p) for p in want}
+    assert sorted(map(len, got.values())) == sorted(map(len, want))
+
+
+def test_op4_circles_and_self_repeats(spark):
+    ring = " ".join(["a b c d e f g"] * 8)
+    rows = [(0, ring), (1, "x " + ring), (2, ring + " y"), (3, " ".join(["q"] * 90)), (4, " ".join(["q"] * 70)), (None, ring)]
+    docs_ = spark.createDataFrame(rows, "doc_id long, text string")
+    got = debruijn.remove_repeats(docs_).select("doc_id", "n_words", "n_removed", "kept_text")
+    assert sorted(map(tuple, got.collect()), key=str) == windows_removed([(i, t) for i, t in rows])
+    assert debruijn.repeated_paths(docs_).count() > 0
+
+
 def test_op5_merges(spark):
     rows = [(1, "a\nb\nc\nd"), (2, "x\na\nb\nc\nd\ny"), (3, "b\nc\nd"), (4, None), (5, "q\nq\nq\nq\nr"), (None, "a\nb\nc")]
     got = linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).select("row.doc_id", "n_removed", "kept_text").collect()
