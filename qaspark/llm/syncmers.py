@@ -120,7 +120,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     doc_id, after the last the first.
 
     Rows are dealt by ranges of doc_id between quantiles; within a range a window finds the successor.
-    The last of each range takes the first of the next range that has rows: one row for each range.
+    The last of each range is followed by the first of the next range that has rows: one row for each range.
     """
     read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     ids = read.filter(F.col("doc_id").isNotNull())
@@ -131,17 +131,16 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     dealt = read.withColumn("part", place.cast("int"))
     lowest = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
     tops = dealt.groupBy("part").agg(F.max(lowest).alias("top"))  # at most MOST_RANGES + 1 rows
-    heads = dealt.withColumn("top", lowest).join(F.broadcast(tops), ["part", "top"])
-    heads = fingerprints(heads.groupBy("part").agg(F.min("text").alias("text")))
+    heads = dealt.withColumn("top", lowest).join(F.broadcast(tops), ["part", "top"]).groupBy("part").agg(F.min("text").alias("text"))
     ring = Window.orderBy(F.col("part").desc())  # numbers of ranges, no texts
     following = tops.select("part", F.coalesce(F.lead("part").over(ring), F.first("part").over(ring)).alias("then"))
-    head = F.struct("text", "sketch")
-    after = following.join(heads.select(F.col("part").alias("then"), head.alias("after")), "then").select("part", "after")
-    inside = Window.partitionBy("part").orderBy(F.col("doc_id").desc_nulls_last(), F.col("text"))
+    # each range ends with a copy of the next range's first row, which is nobody's own
+    ends = following.join(heads.withColumnRenamed("part", "then"), "then").select(F.lit(None).cast("long").alias("doc_id"), "text", "part", F.lit(True).alias("copy"))
+    inside = Window.partitionBy("part").orderBy("copy", F.col("doc_id").desc_nulls_last(), F.col("text"))
     # dealt by range: parts in a row go to one task, so that tasks are alike; sketches are made behind the shuffle
-    follows = fingerprints(dealt.repartitionByRange("part")).withColumn("_next", F.lead(head).over(inside))
-    nxt = F.coalesce("_next", "after")
-    return follows.join(after, "part").select("doc_id", "text", "sketch", nxt["text"].alias("next_text"), nxt["sketch"].alias("next_sketch"))
+    every = dealt.withColumn("copy", F.lit(False)).unionByName(ends).repartitionByRange("part")
+    follows = fingerprints(every).withColumn("_next", F.lead(F.struct("text", "sketch")).over(inside)).filter("NOT copy")
+    return follows.select("doc_id", "text", "sketch", F.col("_next.text").alias("next_text"), F.col("_next.sketch").alias("next_sketch"))
 
 
 def width_bucket(value: Column, bounds: list) -> Column:
