@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import random
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -68,12 +69,82 @@ def test_webp_round_trips():
         webp.decode(webp.encode(image)[:-6])
 
 
+def test_webp_copies_and_ways():
+    """Copies of rows above, of pixels before, a colour cache over copies; every way that payloads are stored in."""
+    rng = np.random.default_rng(3)
+    for t in range(12):
+        rows_ = rng.integers(0, 256, (4, 40, 4), dtype=np.uint8)
+        image = np.concatenate([rows_[rng.integers(0, 4, 3)], np.repeat(rows_[:1], 5, 0), np.full((2, 40, 4), t, np.uint8), rows_])
+        for options in ({}, {"cache_bits": 4}, {"cache_bits": 10, "green": True}, *webp.WAYS):
+            assert (webp.decode(webp.encode(image, **options, size_bits=8)) == image).all(), options
+    seen = set()
+    for k in range(60):
+        payload = webp.padded(rng.integers(0, 256 if k % 3 else 9, int(rng.integers(1, 2000)), dtype=np.uint8).tobytes())
+        media = webp.store(payload)
+        assert webp.read_samples(media)[3] == payload
+        seen.add(zlib.crc32(payload) % len(webp.WAYS))
+    assert seen == set(range(len(webp.WAYS)))
+
+
+def test_webp_groups_of_codes():
+    """An image with an entropy image: two groups of codes, written by hand bit by bit."""
+    w = webp.Writer()
+    w.put(0x2F, 8)
+    for n in (8, 1):
+        w.put(n - 1, 14)
+    w.put(0, 1)
+    w.put(0, 3)
+    w.put(0, 1)  # no transform
+    w.put(0, 1)  # no cache
+    w.put(1, 1)  # groups
+    w.put(0, 3)  # blocks of four
+    webp.write_pixels(w, np.array([0xFF000000, 0xFF000100], np.uint32), False)
+    one = np.zeros(256, np.uint8)
+    for green in (7, 9):
+        for symbol in (green, 1, 2, 255, 0):
+            lengths = one.copy()
+            lengths[symbol] = 1
+            webp.write_code(w, lengths)
+    body = w.done()
+    chunk = b"VP8L" + len(body).to_bytes(4, "little") + body + b"\0" * (len(body) & 1)
+    image = webp.decode(b"RIFF" + (4 + len(chunk)).to_bytes(4, "little") + b"WEBP" + chunk)
+    assert image.tolist() == [[[1, 7, 2, 255]] * 4 + [[1, 9, 2, 255]] * 4]
+
+
 def test_op1(spark, rows, folder):
+    def light(payload):
+        return np.frombuffer(payload, np.uint8).reshape(-1, 192)
+
+    seen = 0
     for r in registry.op1_lossless_webp(spark, folder).collect():
         raw = next((t or "").encode() for i, t, *_ in rows if i == r.doc_id) if r.doc_id not in (3, None) else None
         if raw is not None:
-            payload = webp.padded(raw)
+            payload, media = webp.padded(raw), webp.store(webp.padded(raw))
             assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest())
+            assert (r.tail_crc32, r.media_bytes, r.media_sha256) == (zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest())
+            assert r.feature.startswith(f"192x{len(payload) // 192}x1 mean={light(payload).mean():.4f} sd={light(payload).std():.4f} grid=")
+            seen += 1
+    assert seen > 30
+
+
+def test_long_texts(spark, tmp_path):
+    """A text over one image and one slice, through every operator that works on whole texts."""
+    rnd = random.Random(12)
+    vocabulary = ["".join(rnd.choice("abcdefghiklmnoprstuvwz") for _ in range(rnd.randrange(2, 9))) for _ in range(5000)]
+    long = " ".join(rnd.choice(vocabulary) for _ in range(600_000))
+    assert len(long) > 192 * webp.HIGHEST
+    rows_ = [(1, long, "en", "s", 1), (2, long[1000:2000] + " and more", "en", "s", 1), (3, long, "en", "s", 1), (4, "short", "en", "s", 1)]
+    spark.createDataFrame(rows_, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    get = lambda q: {r.doc_id: r for r in q(spark, str(tmp_path)).collect()}
+    media = get(registry.op1_lossless_webp)
+    assert media[1].payload_sha256 == hashlib.sha256(webp.padded(long.encode())).hexdigest() == media[3].payload_sha256
+    spans = get(registry.op4_debruijn_spans)
+    assert spans[3].n_removed == 600_000 == spans[1].n_words and spans[1].n_removed == 0
+    assert get(registry.op6_syncmers)[3].near_next < 1 and get(registry.op6_syncmers)[1].fingerprint == get(registry.op6_syncmers)[3].fingerprint
+    assert get(registry.op7_count_vector_join)[3].component_id == 1
+    coded = get(registry.op10_byte_bpe)
+    assert coded[1].decoded_sha256 == hashlib.sha256(long.encode()).hexdigest()
+    assert get(registry.op8_token_counts)[1].n_bytes == len(long.encode()) and len(get(registry.op9_language_profiles)) == 4
 
 
 def test_op2_near_targets(spark, folder):
