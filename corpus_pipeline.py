@@ -24,7 +24,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without letters, null texts and those long enough to judge that are like no language go; `lang` stays as it was given.
 
     If nothing was learned (no labelled text with letters outside the held-out fold), no text can be judged: only
-    null texts and those without letters go.
+    null texts and those without letters go. Empty texts and texts of white space or digits alone have no letters.
+    Very long texts are read whole. Ties: of equally like languages the first by name counts, which decides nothing
+    here. Repeated rows and equal ids: each row is judged by itself. Null doc_id, lang or source: kept as they are.
+    Empty table: no rows. Columns beyond those of documents are dropped, whatever their names.
     """
     profiles = langid.learn(docs)
     named = langid.identify_rows(docs.select(*COLUMNS), profiles)
@@ -33,23 +36,42 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated three-line windows are cut out; a document of which nothing is left goes."""
+    """Repeated three-line windows are cut out; a document of which nothing is left goes.
+
+    Null text: stays null. Texts of fewer than three lines, empty ones too: kept as they are. Very long texts are cut
+    whole. Ties: the first window by doc_id, then by place, stays; null doc_id is the last; of repeated rows and of
+    rows with one id one keeps its lines. Empty table: no rows. Further columns are dropped.
+    """
     cut = linededup.dedup_lines(docs.select(*COLUMNS)).filter((F.col("n_removed") == 0) | (F.trim(F.col("kept_text")) != ""))
     return cut.select("row.doc_id", F.col("kept_text").alias("text"), "row.lang", "row.source", F.char_length("kept_text").cast("long").alias("n_chars"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links of five-word shingles, 0.8 alike or more, connect, one stays."""
+    """Of documents that links of five-word shingles, 0.8 alike or more, connect, one stays: the smallest doc_id.
+
+    Null and empty texts, and white space alone, are like nothing and stay. Texts of fewer than five words are like
+    equal ones. Very long texts are compared whole. Null doc_id is larger than all others; of rows with one id the one
+    of the smallest hash of its text counts as first, equal rows are one. Empty table: no rows. Further columns go.
+    """
     return jaccard.keep_one(docs.select(*COLUMNS))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in training order, as often as their source's target takes them."""
+    """Documents in training order, as often as their source's target takes them.
+
+    Null, empty and wordless texts have size 0 and are not taken. Null source: a source of its own. Null doc_id:
+    ordered as an empty id. Very long texts are taken whole. Ties of position go by hash and id; repeated rows are
+    documents of their own. Empty table: no rows. Further columns are dropped.
+    """
     return curriculum.mixed_rows(docs.select(*COLUMNS))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each text, and digests of the ids and of what they decode to."""
+    """Token ids of each text, and digests of the ids and of what they decode to.
+
+    Null text: as empty, with no ids. Very long texts are encoded whole. Null doc_id: kept. Repeated rows and equal
+    ids: each row has its own result. Empty table: no rows. Further columns are dropped.
+    """
     import public_tokenizers
 
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
