@@ -49,3 +49,11 @@ def ship(spark) -> None:
     root = str(Path(__file__).resolve().parents[2])
     if root not in paths:
         environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """`rows` dealt to all cores where they come from fewer files than there are cores: a small file is often one
+    row group, so one task. Tables of many files are left as they are, without a shuffle."""
+    spark = rows.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows

@@ -6,40 +6,48 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from qaspark.functions.answers import grams
-from qaspark.operators.lineage import cut
+from qaspark.operators.lineage import cut, spread
 
 
-def gram_rows(rows: DataFrame, key: str, text: str, n: int = 4) -> DataFrame:
-    """(id, gram, size): one row for each distinct gram, named by a hash."""
-    sets = rows.select(F.col(key).alias("id"), grams(F.col(text), n).alias("texts"))
-    sets = sets.select("id", F.transform("texts", lambda g: F.xxhash64(g)).alias("grams"))
-    return sets.select("id", F.explode("grams").alias("gram"), F.size("grams").alias("size"))
-
-
-def overlaps(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(a, b, shared, size_a, size_b) of every pair that shares a gram."""
-    a = left.select(F.col("id").alias("a"), "gram", F.col("size").alias("size_a"))
-    b = right.select(F.col("id").alias("b"), "gram", F.col("size").alias("size_b"))
-    return a.join(b, "gram").groupBy("a", "b", "size_a", "size_b").agg(F.count(F.lit(1)).alias("shared"))
+def gram_sets(rows: DataFrame, key: str, text: str, n: int = 4) -> DataFrame:
+    """(id, grams): the hashes of the distinct grams of each row."""
+    return spread(rows.select(key, text)).select(F.col(key).alias("id"), F.transform(grams(F.col(text), n), lambda g: F.xxhash64(g)).alias("grams"))
 
 
 def contained(candidates: DataFrame, corpus: DataFrame, key: str, corpus_key: str, text: str, least: float, n: int = 4) -> DataFrame:
-    """(a, b, containment): corpus texts of whose grams a candidate has at least the share `least`."""
-    pairs = overlaps(gram_rows(candidates, key, text, n), gram_rows(corpus, corpus_key, text, n))
-    share = F.col("shared") / F.col("size_b").cast("double")
+    """(a, b, containment): corpus texts of whose grams a candidate has at least the share `least`, which is over 0.
+
+    Who has so large a share lacks `miss` grams at most, so of the 2 * miss + 1 that are rarest in the corpus it has
+    over half. Only these are joined and counted; the pairs with enough of them are compared on whole sets.
+    """
+    items = cut(gram_sets(corpus, corpus_key, text, n).withColumn("size", F.size("grams")).filter("size > 0").withColumn("miss", F.floor(F.col("size") * F.lit(1 - least) + F.lit(1e-9)).cast("int")))
+    each = items.select("id", "size", "miss", F.explode("grams").alias("gram"))
+    often = each.groupBy("gram").agg(F.count(F.lit(1)).alias("c"))
+    rarest = each.join(often, "gram").groupBy("id", "size", "miss").agg(F.sort_array(F.collect_list(F.struct("c", "gram"))).alias("g"))  # an item's grams
+    many = F.least(2 * F.col("miss") + 1, F.col("size"))
+    probes = rarest.select(F.col("id").alias("b"), (many - F.col("miss")).alias("need"), F.explode(F.slice("g", 1, many)).alias("g")).select("b", "need", "g.gram")
+    sets = gram_sets(candidates, key, text, n)
+    found = sets.select(F.col("id").alias("a"), F.explode("grams").alias("gram")).join(probes, "gram").groupBy("a", "b", "need").agg(F.count(F.lit(1)).alias("hits"))
+    found = cut(found.filter("hits >= need").select("a", "b"))  # an id that comes twice has hits of both
+    # only texts with enough hits are read a second time
+    some = gram_sets(candidates.join(found.select(F.col("a").alias(key)).distinct(), key, "left_semi"), key, text, n)
+    pairs = found.join(some.select(F.col("id").alias("a"), F.col("grams").alias("grams_a")), "a").join(items.select(F.col("id").alias("b"), F.col("grams").alias("grams_b")), "b")
+    share = F.size(F.array_intersect("grams_a", "grams_b")) / F.size("grams_b").cast("double")
     return pairs.select("a", "b", share.alias("containment")).filter(F.col("containment") >= least)
 
 
-def classes(rows: DataFrame, key: str, text: str, n: int = 4) -> tuple[DataFrame, DataFrame]:
+def classes(rows: DataFrame, key: str, text: str, n: int = 4, fits=None) -> tuple[DataFrame, DataFrame]:
     """(members, representatives): rows of equal gram sets form a class named by its smallest id.
 
     members is (id, class); representatives (id, grams), hashes of the distinct grams. Texts without grams are
-    classes of their own in neither: they are like nothing.
+    classes of their own in neither: they are like nothing. `fits` may choose sets by the column `grams`. Sets are
+    equal if their sizes and two 64-bit hashes are.
     """
     # the filter is on the text: one on the grams would make them twice
-    some = rows.filter(F.coalesce(F.col(text), F.lit("")).rlike(r"(?U)\S"))
+    some = spread(rows.select(key, text).filter(F.coalesce(F.col(text), F.lit("")).rlike(r"(?U)\S")))
     sets = some.select(F.col(key).alias("id"), F.sort_array(F.transform(grams(F.col(text), n), lambda g: F.xxhash64(g))).alias("grams"))
-    named = cut(sets.withColumn("name", F.sha2(F.array_join(F.transform("grams", lambda g: F.hex(g)), ""), 256)))
+    sets = cut(sets) if fits is None else cut(fits(sets))
+    named = sets.withColumn("name", F.struct(F.size("grams").alias("size"), F.xxhash64("grams").alias("one"), F.xxhash64(F.lit(7), "grams").alias("other")))
     least = cut(named.groupBy("name").agg(F.min("id").alias("class")))
     members = named.select("id", "name").join(least, "name").select("id", "class")
     # the smallest id may repeat, with this set or another: one row of each name
@@ -83,8 +91,14 @@ def alike(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
 
 def leaks(candidates: DataFrame, corpus: DataFrame, key: str, corpus_key: str, text: str, least: float = 0.6) -> DataFrame:
     """(key, of, jaccard): candidates like a corpus text, with the likest one, the smallest id on a tie."""
-    members, mine = classes(candidates, key, text)
     _, theirs = classes(corpus, corpus_key, text)
+    # alike sets differ little in size, and a text has at most as many grams as characters: most texts go early
+    bounds = theirs.agg(F.min(F.size("grams")).alias("low"), F.max(F.size("grams")).alias("high"))
+    within = lambda size: (size >= F.col("low") * least - 1e-9) & (size * least <= F.col("high") + 1e-9)
+    one_row = lambda sets: sets.join(F.broadcast(bounds), F.lit(True)).filter(within(F.size("grams"))).select("id", "grams")
+    long = candidates.join(F.broadcast(bounds), F.char_length(F.col(text)) >= F.col("low") * least - 1e-9).drop("low", "high")
+    members, mine = classes(long, key, text, fits=one_row)
+    mine = cut(mine)
     best = alike(mine, theirs, least).groupBy("a").agg(F.min_by("b", F.struct(-F.col("jaccard"), "b")).alias("of"), F.max("jaccard").alias("jaccard"))
     return members.join(best, members["class"] == best["a"]).select(F.col("id").alias(key), "of", "jaccard")
 
