@@ -170,7 +170,18 @@ def leak_check(spark, sf_dir):
     return D.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "item_id", "text", 0.3).withColumn("jaccard", F.round("jaccard", 6))
 
 
-@query()
+#: Rows in order of the id, each kept unless it is like a smaller one that is kept: one step of the recursion for each
+#: row that is like another.
+GREEDY = f"""WITH RECURSIVE {GRAMS}, h AS (SELECT g.id, g.g, z.z FROM g JOIN z USING (k, id) WHERE g.k = 'd'),
+s AS (SELECT a.id AS low, b.id AS high, count(*)::DOUBLE / (a.z + b.z - count(*)) AS j FROM h a JOIN h b ON a.g = b.g AND a.id < b.id AND a.z >= 0.85 * b.z AND b.z >= 0.85 * a.z GROUP BY a.id, b.id, a.z, b.z),
+e AS MATERIALIZED (SELECT low, high, j FROM s WHERE j >= 0.85), q AS MATERIALIZED (SELECT high AS id, list(low) AS lows, row_number() OVER (ORDER BY high) AS step FROM e GROUP BY high),
+f AS (SELECT list(DISTINCT low) AS firsts FROM e WHERE low NOT IN (SELECT high FROM e)),
+r(step, kept) AS (SELECT 0::BIGINT, firsts FROM f UNION ALL SELECT r.step + 1, CASE WHEN list_has_any(q.lows, r.kept) THEN r.kept ELSE list_append(r.kept, q.id) END FROM r JOIN q ON q.step = r.step + 1),
+w AS (SELECT DISTINCT unnest(kept) AS id FROM (SELECT kept FROM r ORDER BY step DESC LIMIT 1)), y AS (SELECT high AS id, min(low) AS class FROM e WHERE j = 1 GROUP BY 1)
+SELECT DISTINCT d.doc_id, coalesce(y.class, d.doc_id) AS class, (q.id IS NULL OR w.id IS NOT NULL) AS kept FROM documents d LEFT JOIN y ON y.id = d.doc_id LEFT JOIN q ON q.id = d.doc_id LEFT JOIN w ON w.id = d.doc_id"""
+
+
+@query(GREEDY)
 def greedy_dedup(spark, sf_dir):
     return D.deduplicated(table(spark, sf_dir, "documents"), "doc_id", "text")
 
