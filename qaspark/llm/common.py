@@ -71,8 +71,18 @@ def workers_see_package(spark: SparkSession) -> None:
         environment["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
 
 
+def no_clash(df: DataFrame, added: tuple[str, ...]) -> None:
+    """Raise if `df` has a column that is to be added."""
+    if there := {c.lower() for c in df.columns} & set(added):
+        raise ValueError(f"columns {sorted(there)} are there already")
+
+
 def in_batches(df: DataFrame, function, schema: str, rows: int = 512) -> DataFrame:
-    """mapInArrow over batches of at most `rows` rows, so a worker holds few long texts at a time."""
+    """mapInArrow over batches of at most `rows` rows, so a worker holds few long texts at a time.
+
+    Spark also ends a batch at maxBytesPerBatch (64 MB unless set otherwise). The number of rows is a setting of the
+    session that is read when the plan runs, so it stays lowered, for what else the session runs as well.
+    """
     spark = df.sparkSession
     workers_see_package(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_batches
+from .common import in_batches, no_clash
 
 DIMENSIONS, ORDER, CLASSES, SEED = 512, 3, 64, 20240229
 FOLDS, UNKNOWN = 5, "und"
@@ -152,7 +152,11 @@ def identify(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_c
 
 
 def identify_rows(docs: DataFrame, profiles: Profiles, text_col: str = "text") -> DataFrame:
-    """Every row of `docs`, with lang_pred, lang_score and lang_grams, the weight of its trigrams."""
+    """Every row of `docs`, with lang_pred, lang_score and lang_grams, the weight of its trigrams.
+
+    A column of `docs` with one of these names, in any case, is an error.
+    """
+    no_clash(docs, ("lang_pred", "lang_score", "lang_grams"))
     columns = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields]
 
     def named(batches):

@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import math
 import random
 import zlib
 
@@ -426,6 +427,82 @@ def test_op9_learns(spark):
     assert got[None].held_out and all(0 <= r.score <= 1 for r in got.values())
 
 
+class Profiles:
+    """Language profiles by loops over letters, for comparison."""
+
+    def __init__(self, rows):
+        import binascii
+
+        letters = np.random.default_rng(langid.SEED).integers(0, 2, (langid.CLASSES, langid.DIMENSIONS), dtype=np.int8).astype(np.int64) * 2 - 1
+        self.letters, sums = letters, {}
+        for doc_id, text, lang in rows:
+            if lang is not None and text is not None and binascii.crc32(str(doc_id).encode() if doc_id is not None else b"") % 5:
+                sums[lang] = sums.get(lang, 0) + self.vector(text)
+        self.names = sorted(sums)
+        unit = [sums[x] / max(np.linalg.norm(sums[x]), 1e-12) for x in self.names]
+        mean = sum(unit) / len(unit) if unit else 0
+        self.unit, self.mean = unit, mean
+        self.apart = [(u - mean) / max(np.linalg.norm(u - mean), 1e-12) for u in unit] if len(unit) > 1 else unit
+
+    def classes(self, text):
+        out = [0]
+        for c in text:
+            low = ord(c.lower()[0])
+            k = 0 if not c.isalpha() else low - 96 if 97 <= low <= 122 else 27 + low % 36
+            if k or out[-1]:
+                out.append(k)
+        return out + [0] if out[-1] else out
+
+    def vector(self, text):
+        k, total = self.classes(text), np.zeros(langid.DIMENSIONS, np.int64)
+        for a, b, c in zip(k, k[1:], k[2:]):
+            total = total + np.roll(self.letters[a], 2) * np.roll(self.letters[b], 1) * self.letters[c]
+        return total
+
+    def weight(self, text):
+        k = self.classes(text or "")
+        counts = {}
+        for gram in zip(k, k[1:], k[2:]):
+            counts[gram] = counts.get(gram, 0) + 1
+        return sum(counts.values()) ** 2 / sum(n * n for n in counts.values()) if counts and any(map(str.isalpha, text)) else 0
+
+    def predict(self, text):
+        if not text or not any(map(str.isalpha, text)) or not self.names:
+            return "und", 0.0
+        v = self.vector(text) / np.linalg.norm(self.vector(text))
+        best = max(range(len(self.names)), key=lambda i: (float(self.apart[i] @ (v - self.mean)), -i))
+        return self.names[best], max(0.0, float(self.unit[best] @ v))
+
+
+def test_op9_brute_force(spark):
+    rnd = random.Random(13)
+    alphabets = {"aa": "etaoinshr", "bb": "eänrtsüd", "cc": "ανοστείρ", "dd": "оеаинтсрв"}
+    rows = [(i, " ".join("".join(rnd.choice(alphabets[lang]) for _ in range(rnd.randrange(1, 8))) for _ in range(rnd.randrange(1, 30))) + rnd.choice(["", ".", " 12", "\n"]), lang) for i, lang in enumerate(rnd.choices(list(alphabets), k=60))]
+    rows += [(100, None, "aa"), (101, "", "bb"), (102, "1 2", "cc"), (103, "tea", None), (None, "tea ein", "aa"), (104, "漢字", "dd"), (2, "etaoin", "aa"), (2, "etaoin", "aa")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    own = Profiles(rows)
+    got = sorted(((r.doc_id, r.lang_pred, r.score) for r in langid.identify(docs, langid.learn(docs)).collect()), key=str)
+    want = sorted(((i, *own.predict(t)) for i, t, _ in rows), key=str)
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert all(abs(g[2] - w[2]) < 1e-5 for g, w in zip(got, want))
+
+
+def test_op9_held_out_accuracy(spark):
+    """On the driver's documents, learned without the held-out fold: nearly all texts of over 50 characters are right."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = langid.identify(docs, langid.learn(docs)).join(docs.select("doc_id", "lang", "n_chars"), "doc_id").filter("held_out AND n_chars > 50")
+    right, n = found.agg(F.count_if(F.col("lang") == F.col("lang_pred")), F.count(F.lit(1))).first()
+    assert n > 100 and right / n >= 0.99
+
+
+def test_added_columns_that_exist(spark):
+    docs = spark.createDataFrame([(1, "a", 2)], "doc_id long, text string, Lang_Score int")
+    with pytest.raises(ValueError, match="lang_score"):
+        langid.identify_rows(docs, langid.learn(docs.withColumn("lang", F.lit("x"))))
+    with pytest.raises(ValueError, match="pixels"):
+        webp.decode_column(webp.store_column(docs).withColumn("Pixels", F.lit(1)))
+
+
 def test_op10_is_tiktoken():
     import tiktoken
 
@@ -473,3 +550,91 @@ def test_language_stage_without_training(spark, label):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     got = corpus_pipeline.language(spark, docs, "").collect()
     assert sorted(r.text for r in got) == sorted(r[1] for r in rows if r[1] and any(map(str.isalpha, r[1])))
+
+
+def piped(rows):
+    """(doc_id, digest of ids) of the pipeline's rows, by loops; rows of unique ids."""
+    import tiktoken
+
+    own = Profiles([(i, t, lang) for i, t, lang, _ in rows])
+    names = bool(own.names)
+    kept = [r for r in rows if own.weight(r[1]) > 0 and (own.weight(r[1]) < corpus_pipeline.LEAST_GRAMS or not names or own.predict(r[1])[1] >= corpus_pipeline.LEAST_SCORE)]
+    seen, cut = set(), []
+    for i, t, lang, source in sorted(kept):
+        lines = t.split("\n")
+        gone = set()
+        for k in range(len(lines) - 2):
+            w = tuple(lines[k : k + 3])
+            gone |= {k, k + 1, k + 2} if w in seen else set()
+            seen.add(w)
+        left = "\n".join(x for k, x in enumerate(lines) if k not in gone)
+        if not gone or left.strip(" "):
+            cut.append((i, left, source))
+    sets = []
+    for _, t, _ in cut:
+        w = t.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).split()
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    label = list(range(len(cut)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and 100 * len(a & sets[j]) >= 80 * len(a | sets[j]):
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    unique = [r for k, r in enumerate(cut) if label[k] == k]
+    size = {i: len(t.split()) for i, t, _ in unique}
+    by = {}
+    for i, t, source in unique:
+        by.setdefault(source, []).append((hashlib.md5(f"mix:{i}".encode()).hexdigest(), i, t))
+    order = sorted(by, key=lambda s: (s is None, s or ""))
+    weight, total = {s: (3.0, 1.0, 2.0)[k % 3] for k, s in enumerate(order)}, {s: sum(size[i] for _, i, _ in by[s]) for s in order}
+    target, free, demand = {}, [s for s in order if total[s]], 1.5 * sum(total.values())
+    while free:
+        level = demand / sum(weight[s] for s in free)
+        full = [s for s in free if level * weight[s] > 2 * total[s]]
+        for s in full or free:
+            target[s] = 2.0 * total[s] if full else level * weight[s]
+        demand -= sum(target[s] for s in full)
+        free = [s for s in free if s not in full] if full else []
+    bpe = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bytebpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), special_tokens={})
+    out = []
+    for s in order:
+        for p in range(2):
+            start = p * total[s]
+            for _, i, t in sorted(by[s]):
+                if size[i] and 2 * (math.floor(target[s] + 0.5) - start) >= size[i]:
+                    out.append((i, hashlib.sha256(np.array(bpe.encode_ordinary(t), "<u4").tobytes()).hexdigest()))
+                start += size[i]
+    return sorted(out)
+
+
+def test_pipeline_brute_force(spark, tmp_path):
+    rnd = random.Random(21)
+    words_ = {x: ["".join(rnd.choice(a) for _ in range(rnd.randrange(2, 7))) for _ in range(90)] for x, a in (("aa", "etaoinshr"), ("bb", "äüölkmwz"))}
+    text = lambda x, n: "".join(rnd.choice(words_[x]).title() + rnd.choice([" ", " ", " ", "\n"]) for _ in range(n))
+    shared = "\n".join(text("aa", 4).replace("\n", " ") for _ in range(4))
+    base = text("aa", 120).replace("\n", " ")
+    texts = [(text(x, rnd.randrange(3, 60)), x) for x in ("aa", "bb") for _ in range(25)]
+    texts += [(base, "aa"), (base + " end", "aa"), (base.replace(base.split()[40], "zzz"), "aa"), (base.upper(), "aa"), (text("aa", 9) + "\n" + shared, "aa"), (shared + "\n" + text("aa", 9), "aa"), (shared, "aa"), ("12 !", None), (None, "aa"), ("", "bb"), ("".join(rnd.choice("qxjv") for _ in range(900)), None)]
+    rnd.shuffle(texts)
+    rows = [(i, t, x, rnd.choice(["s0", "s1", "s2", "s3", None])) for i, (t, x) in enumerate(texts)]
+    spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r.doc_id, r.ids_sha256) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    assert got == piped(rows) and len(got) > 40
+
+
+def test_pipeline_recall_of_near_copies(spark):
+    """Copies with one word in 150 changed: of every group one stays; a group of half its words is left alone."""
+    rnd = random.Random(22)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(5))
+    rows, groups = [], 40
+    for g in range(groups):
+        base = [word() for _ in range(150)]
+        for _ in range(4):
+            w = list(base)
+            w[rnd.randrange(150)] = word()
+            rows.append((len(rows), " ".join(w)))
+        rows.append((len(rows), " ".join(base[:75] + [word() for _ in range(75)])))
+    docs = spark.createDataFrame([(*r, "en", "s", 0) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
+    caught = sum(i % 5 in (1, 2, 3) and i not in kept for i, _ in rows)
+    assert caught / (3 * groups) >= 0.99 and all(i in kept for i, _ in rows if i % 5 == 4)
