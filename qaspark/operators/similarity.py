@@ -11,7 +11,7 @@ from qaspark.operators.lineage import cut, spread
 
 def gram_sets(rows: DataFrame, key: str, text: str, n: int = 4) -> DataFrame:
     """(id, grams): the hashes of the distinct grams of each row."""
-    return spread(rows.select(key, text)).select(F.col(key).alias("id"), F.transform(grams(F.col(text), n), lambda g: F.xxhash64(g)).alias("grams"))
+    return rows.select(F.col(key).alias("id"), F.transform(grams(F.col(text), n), lambda g: F.xxhash64(g)).alias("grams"))
 
 
 def contained(candidates: DataFrame, corpus: DataFrame, key: str, corpus_key: str, text: str, least: float, n: int = 4) -> DataFrame:
@@ -20,17 +20,20 @@ def contained(candidates: DataFrame, corpus: DataFrame, key: str, corpus_key: st
     Who has so large a share lacks `miss` grams at most, so of the 2 * miss + 1 that are rarest in the corpus it has
     over half. Only these are joined and counted; the pairs with enough of them are compared on whole sets.
     """
-    items = cut(gram_sets(corpus, corpus_key, text, n).withColumn("size", F.size("grams")).filter("size > 0").withColumn("miss", F.floor(F.col("size") * F.lit(1 - least) + F.lit(1e-9)).cast("int")))
+    items = cut(gram_sets(spread(corpus.select(corpus_key, text)), corpus_key, text, n).withColumn("size", F.size("grams")).filter("size > 0").withColumn("miss", F.floor(F.col("size") * F.lit(1 - least) + F.lit(1e-9)).cast("int")))
     each = items.select("id", "size", "miss", F.explode("grams").alias("gram"))
     often = each.groupBy("gram").agg(F.count(F.lit(1)).alias("c"))
     rarest = each.join(often, "gram").groupBy("id", "size", "miss").agg(F.sort_array(F.collect_list(F.struct("c", "gram"))).alias("g"))  # an item's grams
     many = F.least(2 * F.col("miss") + 1, F.col("size"))
     probes = rarest.select(F.col("id").alias("b"), (many - F.col("miss")).alias("need"), F.explode(F.slice("g", 1, many)).alias("g")).select("b", "need", "g.gram")
-    sets = gram_sets(candidates, key, text, n)
-    found = sets.select(F.col("id").alias("a"), F.explode("grams").alias("gram")).join(probes, "gram").groupBy("a", "b", "need").agg(F.count(F.lit(1)).alias("hits"))
+    probes = cut(probes)  # a table of known size: a small one is broadcast, so that candidates' grams stay where they are
+    texts = spread(candidates.select(key, text))
+    sets = gram_sets(texts, key, text, n)
+    # outer: else a filter on the grams, which would make them a second time, goes below
+    found = sets.select(F.col("id").alias("a"), F.explode_outer("grams").alias("gram")).join(probes, "gram").groupBy("a", "b", "need").agg(F.count(F.lit(1)).alias("hits"))
     found = cut(found.filter("hits >= need").select("a", "b"))  # an id that comes twice has hits of both
     # only texts with enough hits are read a second time
-    some = gram_sets(candidates.join(found.select(F.col("a").alias(key)).distinct(), key, "left_semi"), key, text, n)
+    some = gram_sets(texts.join(found.select(F.col("a").alias(key)).distinct(), key, "left_semi"), key, text, n)
     pairs = found.join(some.select(F.col("id").alias("a"), F.col("grams").alias("grams_a")), "a").join(items.select(F.col("id").alias("b"), F.col("grams").alias("grams_b")), "b")
     share = F.size(F.array_intersect("grams_a", "grams_b")) / F.size("grams_b").cast("double")
     return pairs.select("a", "b", share.alias("containment")).filter(F.col("containment") >= least)
@@ -43,9 +46,11 @@ def classes(rows: DataFrame, key: str, text: str, n: int = 4, fits=None) -> tupl
     classes of their own in neither: they are like nothing. `fits` may choose sets by the column `grams`. Sets are
     equal if their sizes and two 64-bit hashes are.
     """
-    # the filter is on the text: one on the grams would make them twice
+    # filters on the grams would be pushed below and make them a second time: one is on the text, others, those of
+    # `fits`, stay above a generator
     some = spread(rows.select(key, text).filter(F.coalesce(F.col(text), F.lit("")).rlike(r"(?U)\S")))
-    sets = some.select(F.col(key).alias("id"), F.sort_array(F.transform(grams(F.col(text), n), lambda g: F.xxhash64(g))).alias("grams"))
+    made = F.sort_array(F.transform(grams(F.col(text), n), lambda g: F.xxhash64(g)))
+    sets = some.select(F.col(key).alias("id"), F.explode_outer(F.array(made)).alias("grams"))
     sets = cut(sets) if fits is None else cut(fits(sets))
     named = sets.withColumn("name", F.struct(F.size("grams").alias("size"), F.xxhash64("grams").alias("one"), F.xxhash64(F.lit(7), "grams").alias("other")))
     least = cut(named.groupBy("name").agg(F.min("id").alias("class")))
@@ -96,7 +101,7 @@ def leaks(candidates: DataFrame, corpus: DataFrame, key: str, corpus_key: str, t
     bounds = theirs.agg(F.min(F.size("grams")).alias("low"), F.max(F.size("grams")).alias("high"))
     within = lambda size: (size >= F.col("low") * least - 1e-9) & (size * least <= F.col("high") + 1e-9)
     one_row = lambda sets: sets.join(F.broadcast(bounds), F.lit(True)).filter(within(F.size("grams"))).select("id", "grams")
-    long = candidates.join(F.broadcast(bounds), F.char_length(F.col(text)) >= F.col("low") * least - 1e-9).drop("low", "high")
+    long = spread(candidates.select(key, text)).join(F.broadcast(bounds), F.char_length(F.col(text)) >= F.col("low") * least - 1e-9).drop("low", "high")
     members, mine = classes(long, key, text, fits=one_row)
     mine = cut(mine)
     best = alike(mine, theirs, least).groupBy("a").agg(F.min_by("b", F.struct(-F.col("jaccard"), "b")).alias("of"), F.max("jaccard").alias("jaccard"))

@@ -10,7 +10,7 @@ from qaspark.functions import prompts as P
 from qaspark.operators import judging as J
 from qaspark.operators import open_judges as O
 from qaspark.operators import quality as Q
-from qaspark.operators.lineage import cut, spread
+from qaspark.operators.lineage import cut
 from qaspark.plans import tasks as T
 from qaspark.plans.grading import TYPED, flat, judged, typed, with_meta
 from qaspark.plans.evaluating import query, table
@@ -245,7 +245,7 @@ def task_plain_dimensions(spark, sf_dir):
     k, user, kind = F.col("k"), F.concat(F.lit("u"), (F.col("user_id") % 3).cast("string")), F.col("event_type")
     option = lambda x: F.struct(F.lit(x).alias("letter"), F.lit(x).alias("text"))
     v = judged(spark, sf_dir).withColumn("options", F.when(F.col("event_id") % 2 == 0, F.array(option("A"), option("B"))).otherwise(F.array(option("A"), option("B"), option("C"))))
-    v = spread(cut(v))  # graded once for all tasks
+    v = cut(v)  # graded once for all tasks
     columns = {"event_type": kind, "'u' || user_id % 3": user, "k % 4": k % 4, "CASE WHEN k % 2 = 0 THEN 'True' ELSE 'False' END": k % 2 == 0}
     out = None
     for task, dims in PLAIN.items():

@@ -10,6 +10,7 @@ from qaspark.functions import prompts as P
 from qaspark.operators import judging as J
 from qaspark.operators import selection as S
 from qaspark.operators import similarity as D
+from qaspark.operators.lineage import spread
 from qaspark.plans import tasks as T
 from qaspark.plans.evaluating import GRAMS, query, table
 from qaspark.plans.stand_ins import echo
@@ -24,7 +25,7 @@ g AS (SELECT *, CASE WHEN none THEN false WHEN prompt_type = 'open' THEN judge_s
 
 
 def typed(spark, sf_dir) -> DataFrame:
-    e = table(spark, sf_dir, "events").withColumn("k", F.regexp_extract("props", "([0-9]+)", 1).cast("int"))
+    e = spread(table(spark, sf_dir, "events")).withColumn("k", F.regexp_extract("props", "([0-9]+)", 1).cast("int"))
     e = e.withColumn("prompt_type", F.get(F.array(*map(F.lit, ("mcq_single", "mcq_multi", "mcq_grouped", "open"))), (F.col("event_id") % 4).cast("int")))
     letter, gold, kind = F.char(65 + F.col("k") % 4), F.char(65 + F.floor(F.col("event_id") / 4) % 4), F.col("prompt_type")
     box = lambda c: F.concat(F.lit(r"\boxed{"), c, F.lit("}"))

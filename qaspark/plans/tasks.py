@@ -19,20 +19,37 @@ from qaspark.operators.lineage import cut
 UNKNOWN = "unknown"
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """`then` of a value that is computed once, however often `then` names it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _with_part(key: str, then: Callable[[Column, Column], Column]) -> Column:
+    """`then` of meta.key, a variant, and of the name of its type."""
+    return _let(F.try_variant_get("meta", f"$.{key}", "variant"), lambda p: _let(F.schema_of_variant(p), lambda kind: then(p, kind)))
+
+
+def _text(part: Column, kind: Column) -> Column:
+    text = F.try_variant_get(part, "$", "string")
+    printed = F.when(kind == "BOOLEAN", F.initcap(text)).when(~kind.startswith("ARRAY") & ~kind.startswith("OBJECT"), text)
+    return _let(F.trim(printed), lambda t: F.when(t != "", t))
+
+
 def scalar(key: str) -> Column:
     """meta.key as Python prints it: booleans as True and False; null for arrays, blanks and missing keys."""
-    part = F.try_variant_get("meta", f"$.{key}", "variant")
-    kind = F.schema_of_variant(part)
-    text = F.when(kind == "BOOLEAN", F.initcap(F.try_variant_get("meta", f"$.{key}", "string"))).when(~kind.startswith("ARRAY") & ~kind.startswith("OBJECT"), F.try_variant_get("meta", f"$.{key}", "string"))
-    text = F.trim(text)
-    return F.when(text != "", text)
+    return _with_part(key, _text)
 
 
 def listed(key: str) -> Column:
     """meta.key as an array of trimmed strings without blanks, repeats kept; a scalar is one element."""
-    many = F.filter(F.transform(F.try_variant_get("meta", f"$.{key}", "array<string>"), lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))
-    one = F.when(scalar(key).isNotNull(), F.array(scalar(key)))
-    return F.coalesce(many, one, F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+
+    def elements(part: Column, kind: Column) -> Column:
+        many = F.filter(F.transform(F.try_variant_get(part, "$", "array<string>"), lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))
+        one = _let(_text(part, kind), lambda t: F.when(t.isNotNull(), F.array(t)))
+        return F.coalesce(F.when(kind.startswith("ARRAY"), many).otherwise(one), none)
+
+    return _with_part(key, elements)
 
 
 def first_of(key: str) -> Column:
@@ -53,8 +70,9 @@ class Dim:
     children: tuple[Dim, ...] = ()
 
     def keys(self) -> Column:
-        keys = self.key() if self.many else F.array(F.coalesce(self.key(), F.lit(UNKNOWN)))
-        return F.when(F.size(keys) > 0, keys).otherwise(F.array(F.lit(UNKNOWN)))
+        if not self.many:
+            return F.array(F.coalesce(self.key(), F.lit(UNKNOWN)))
+        return _let(self.key(), lambda keys: F.when(F.size(keys) > 0, keys).otherwise(F.array(F.lit(UNKNOWN))))
 
     def all(self) -> list[Dim]:
         return [self, *(d for child in self.children for d in child.all())]
@@ -273,10 +291,13 @@ def review_counts(verdicts: DataFrame, key: str = "review_pass") -> DataFrame:
 
 
 def evaluated(verdicts: DataFrame, dataset: str, tasks: Mapping[str, str] | None = None) -> DataFrame:
-    """(scope, path, acc, n) of a dataset's task. The verdicts are computed once, whatever reads them."""
+    """(scope, path, acc, n) of a dataset's task. The verdicts are computed once: where several aggregates read them,
+    as a written table."""
     spec = task_of(dataset, tasks)
     needed = ("sample_id", "prompt_type", "is_correct", "meta", "options", "sub_results", "judge_score")
-    verdicts = cut(verdicts.select(*(c for c in needed if c in verdicts.columns)))
+    verdicts = verdicts.select(*(c for c in needed if c in verdicts.columns))
+    if spec.extra or spec.qualified:
+        verdicts = cut(verdicts)
 
     def measured(v: DataFrame, scope: str) -> DataFrame:
         out = metrics(v, spec.dims)
