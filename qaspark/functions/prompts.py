@@ -190,8 +190,42 @@ def paired(samples: DataFrame, dataset: str) -> DataFrame:
     return groups.select(F.when(many, F.col("_group")).otherwise(first["sample_id"]).alias("sample_id"), first["story"].alias("story"), question.alias("question"), answer.alias("answer"), F.parse_json(first["meta"]).alias("meta"), F.when(many, subs).alias("sub_questions"))
 
 
+#: What stands before story, question and options of each dataset, and between the three.
+HEADINGS: Mapping[str, tuple[str, str, str, str]] = {
+    "Belief_R": ("Premises:\n", "Question:\n", "Options:\n", "\n\n"),
+    "BigToM": ("Story: ", "Question: ", "Choose one of the following:\n", "\n"),
+    "ExploreToM": ("Story:\n", "Question:\n", "Options:\n", "\n\n"),
+    "FictionalQA": ("Document:\n", "Question:\n", "Options:\n", "\n\n"),
+    "HellaSwag": ("Passage:\n", "Question:\n", "Options:\n", "\n\n"),
+    "PUB": ("", "", "Options:\n", "\n\n"),
+    "SimpleToM": ("Story:\n", "Question:\n", "Options:\n", "\n\n"),
+    "SocialBench": ("", "", "Options:\n", "\n\n"),
+    "SocialIQA": ("Context:\n", "Question:\n", "Answers:\n", "\n\n"),
+    "TactfulToM": ("# Context:\n", "# Question:\n", "# Options:\n", "\n\n"),
+    "ToMBench": ("[Story]\n", "[Question]\n", "[Candidate Answers]\n", "\n\n"),
+    "ToMChallenges": ("Story:\n", "Question:\n", "Options:\n", "\n\n"),
+    "ToMQA": ("Story:\n", "Question:\n", "Options:\n", "\n\n"),
+    "ToMato": ("Conversation:\n", "Question:\n", "Options:\n", "\n\n"),
+    "ToMi": ("Story:\n", "Question:\n", "Options:\n", "\n\n"),
+}
+#: The same for Chinese samples of datasets that have both languages.
+HEADINGS_ZH: Mapping[str, tuple[str, str, str, str]] = {"ToMBench": ("[故事]\n", "[问题]\n", "[答案选项]\n", "\n\n")}
+
+
+def headed_body(headings: tuple[str, str, str, str], zh: tuple[str, str, str, str] | None = None) -> Column:
+    """A body of story, question and, where there are any, options, each under its heading."""
+    of = lambda k: F.lit(headings[k]) if zh is None else F.when(F.col("lang") == "zh", zh[k]).otherwise(headings[k])
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    shown = F.when(F.size("options") > 0, F.concat(of(3), of(2), options_block(F.col("options")))).otherwise("")
+    return F.concat(of(0), text("story"), of(3), of(1), text("question"), shown)
+
+
+def _headed(dataset: str) -> Hooks:
+    return Hooks(body=lambda: headed_body(HEADINGS[dataset], HEADINGS_ZH.get(dataset)))
+
+
 #: The ways of datasets that have one.
-HOOKS: Mapping[str, Hooks] = {
+HOOKS: Mapping[str, Hooks] = {dataset: _headed(dataset) for dataset in HEADINGS} | {
     "EmoBench": Hooks(lambda s: paired(s, "EmoBench"), grouped_body),
     "FanToM": Hooks(body=access_body, system=lambda p: _own_system(p)),
     "HiToM": Hooks(body=inline_body, system=lambda p: _own_system(p)),

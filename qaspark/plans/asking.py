@@ -116,6 +116,27 @@ def hooked_prompts(spark, sf_dir):
     return out
 
 
+def _headed_sql(dataset: str, asked: str = "p_size % 3 > 0", headings=P.HEADINGS) -> str:
+    story, question, options, between = (_text(h) for h in headings[dataset])
+    return f"SELECT p_partkey, '{dataset}' AS dataset, {story} || p_type || {between} || {question} || p_name || CASE WHEN p_size % 5 > 0 THEN {between} || {options} || E'A. x\\nB. ' || p_brand ELSE '' END AS prompt FROM part WHERE {asked}"
+
+
+HEADED = ("BigToM", "FictionalQA", "PUB", "SocialIQA", "ToMBench")
+
+
+@query(" UNION ALL ".join([_headed_sql(d, "p_size % 3 > 0" if d in P.HEADINGS_ZH else "true") for d in HEADED] + [_headed_sql("ToMBench", "p_size % 3 = 0", P.HEADINGS_ZH)]))
+def headed_prompts(spark, sf_dir):
+    size, none = F.col("p_size"), F.array().cast("array<string>")
+    answer = F.struct(F.array(F.lit("x")).alias("correct_answers"), F.when(size % 5 > 0, F.array("p_brand")).otherwise(none).alias("wrong_answers"))
+    meta = F.to_variant_object(F.struct(F.when(size % 3 == 0, "zh-CN").otherwise("en").alias("lang")))
+    s = table(spark, sf_dir, "part").select("p_partkey", F.col("p_partkey").cast("string").alias("sample_id"), F.col("p_type").alias("story"), F.col("p_name").alias("question"), answer.alias("answer"), meta.alias("meta"))
+    out = None
+    for dataset in HEADED:
+        rows = P.prepared(s, dataset, P.Protocol("del_tom")).filter("repeat = 0").select("p_partkey", F.lit(dataset).alias("dataset"), "prompt")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @query(f"""SELECT p_partkey, replace(replace(replace({_text(P.WORDING['en', 'choice'])}, '{{story}}', 'st'), '{{question}}', 'Which?'), '{{options}}', CASE WHEN false THEN '' ELSE 'A. ' || p_name || E'\\nB. ' || p_brand END) AS no_story, 1 AS x FROM part WHERE false
 UNION ALL SELECT p_partkey, probe, length(prompt)::INTEGER FROM (SELECT p_partkey, unnest(['no_options', 'no_question', 'no_story']) AS probe, unnest([E'Story:\\nst\\n\\nQuestion: Which?', E'Story:\\nst\\n\\nQuestion: \\n\\nOptions:\\nA. ' || p_name || E'\\nB. ' || p_brand, E'Story:\\n\\n\\nQuestion: Which?\\n\\nOptions:\\nA. ' || p_name || E'\\nB. ' || p_brand]) AS prompt FROM part WHERE p_size % 2 = 0)""")
 def probe_prompts(spark, sf_dir):

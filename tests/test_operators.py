@@ -128,3 +128,14 @@ def test_checked_samples_raise(spark):
     assert tables.checked(s).count() == 1
     with pytest.raises(Exception, match="question_empty"):
         tables.checked(s.withColumn("question", F.lit(" "))).collect()
+
+
+@pytest.mark.parametrize("dataset", sorted(P.HEADINGS))
+def test_headed_bodies(spark, dataset):
+    row = "'s' AS story, {} AS question, array({}) AS options, 'en' AS lang"
+    some = spark.sql("SELECT " + row.format("'q'", "named_struct('letter', 'A', 'text', 'x')"))
+    nothing = spark.sql("SELECT " + row.format("CAST(NULL AS string)", "")).withColumn("options", F.array().cast("array<struct<letter: string, text: string>>"))
+    story, question, options, between = P.HEADINGS[dataset]
+    body = P.HOOKS[dataset].body()
+    assert some.select(body).first()[0] == f"{story}s{between}{question}q{between}{options}A. x"
+    assert nothing.select(body).first()[0] == f"{story}s{between}{question}"
