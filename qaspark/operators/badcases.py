@@ -58,9 +58,10 @@ def samples(records: DataFrame, verdicts: DataFrame) -> DataFrame:
     return out.withColumn("tier", tier)
 
 
-def worst(of: DataFrame, limit: int) -> DataFrame:
-    """The first `limit` wrong samples: by tier, the group's wrong rate, wrong answers, id."""
-    return of.filter("wrong_count > 0").orderBy("tier", F.col("group_wrong_rate").desc(), F.col("wrong_count").desc(), "sample_id").limit(limit)
+def worst(of: DataFrame, limit: int | None = None) -> DataFrame:
+    """Wrong samples by tier, the group's wrong rate, wrong answers, id: all, or the first `limit`."""
+    found = of.filter("wrong_count > 0").orderBy("tier", F.col("group_wrong_rate").desc(), F.col("wrong_count").desc(), "sample_id")
+    return found if limit is None else found.limit(limit)
 
 
 def case_lines(cases: DataFrame) -> DataFrame:

@@ -281,7 +281,7 @@ def bad_case_report(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select(sample, F.col("o_orderkey").alias("repeat"), "o_orderstatus")
     records = o.select("sample_id", "repeat", F.lit("mcq_single").alias("prompt_type"), F.parse_json(F.lit('{"ability": "x"}')).alias("meta"), F.array(F.lit("x")).alias("correct_answers"), F.array(F.lit("A")).alias("correct_letters"))
     cases = B.samples(records, o.select("sample_id", "repeat", (F.col("o_orderstatus") == "F").alias("is_correct")))
-    return B.case_lines(B.worst(cases, 100_000))
+    return B.case_lines(B.worst(cases))
 
 
 @query("SELECT n_nationkey::VARCHAR AS sample_id, '' AS story, 'q' AS question, n_name AS right FROM nation WHERE n_nationkey > 0")

@@ -139,3 +139,11 @@ def test_headed_bodies(spark, dataset):
     body = P.HOOKS[dataset].body()
     assert some.select(body).first()[0] == f"{story}s{between}{question}q{between}{options}A. x"
     assert nothing.select(body).first()[0] == f"{story}s{between}{question}"
+
+
+def test_report_has_every_bad_case(spark, tmp_path):
+    from qaspark.plans import reporting
+
+    orders = spark.range(100_500).select(F.col("id").alias("o_custkey"), F.col("id").alias("o_orderkey"), F.when(F.col("id") % 500 == 0, "F").otherwise("O").alias("o_orderstatus"))
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    assert reporting.bad_case_report(spark, str(tmp_path)).count() == 100_500 - 201
