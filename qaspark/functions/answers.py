@@ -73,6 +73,25 @@ def safe_ratio(part: Column, whole: Column) -> Column:
     return F.coalesce(F.try_divide(part.cast("double"), whole.cast("double")), F.lit(0.0))
 
 
+def four_places(value: Column) -> Column:
+    """A number with four decimals as C writes it: by the exact value of the double, an exact half to the even digit.
+
+    Java's format rounds halves of the shortest decimal up. From 2**63 on, infinite and not a number: as Java writes them.
+    """
+    x = value.cast("double")
+    whole = F.floor(F.abs(x))
+    part = F.abs(x) - whole.cast("double")
+    n = F.floor(part * 10000.0)
+    # pieces of 26 bits, whose products are exact: the sign of their sum tells on which side of the half the value is
+    high = F.floor(part * 2.0**26).cast("double") / 2.0**26
+    middle = F.floor((part - high) * 2.0**52).cast("double") / 2.0**52
+    beyond = high * 20000.0 - (n * 2 + 1).cast("double") + middle * 20000.0 + (part - high - middle) * 20000.0
+    n = n + ((beyond > 0) | ((beyond == 0) & (n % 2 == 1))).cast("long")
+    sign = F.when(x.cast("string").startswith("-"), "-").otherwise("")
+    exact = F.format_string("%s%d.%04d", sign, whole + F.when(n == 10000, 1).otherwise(0), n % 10000)
+    return F.when(F.abs(x) < 2.0**63, exact).when(x.isNotNull(), F.format_string("%.4f", x))
+
+
 def language(lang: Column, fallback: Column | None = None) -> Column:
     given = F.lower(F.trim(F.coalesce(lang, fallback if fallback is not None else lang, F.lit("en"))))
     return F.when(F.startswith(given, F.lit("zh")), "zh").otherwise("en")

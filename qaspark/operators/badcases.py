@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from qaspark.functions.answers import safe_ratio
+from qaspark.functions.answers import four_places, safe_ratio
 
 #: Keys of meta that name a sample, and those that a group is shown by.
 NAMING = ("id", "Index", "filename", "file", "sample_id", "question_id")
@@ -66,5 +66,5 @@ def worst(of: DataFrame, limit: int | None = None) -> DataFrame:
 
 def case_lines(cases: DataFrame) -> DataFrame:
     """(sample_id, text): the section of a report on each case."""
-    text = F.format_string("### %s\n\n- tier: %d\n- wrong: %d of %d\n- group: %s (%.4f)\n- answer: %s\n", "sample_id", "tier", "wrong_count", "max_repeat", "group_display", "group_wrong_rate", "gold_answer")
+    text = F.format_string("### %s\n\n- tier: %d\n- wrong: %d of %d\n- group: %s (%s)\n- answer: %s\n", "sample_id", "tier", "wrong_count", "max_repeat", "group_display", four_places(F.col("group_wrong_rate")), "gold_answer")
     return cases.select("sample_id", text.alias("text"))

@@ -7,9 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from qaspark.functions.answers import four_places
+
 
 def formatted(value: Column) -> Column:
-    return F.coalesce(F.format_string("%.4f", value.cast("double")), F.lit("-"))
+    return F.coalesce(four_places(value), F.lit("-"))
 
 
 def summary(metrics: DataFrame, row: str, column: str, value: str, columns: Sequence[str]) -> DataFrame:

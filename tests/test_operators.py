@@ -147,3 +147,19 @@ def test_report_has_every_bad_case(spark, tmp_path):
     orders = spark.range(100_500).select(F.col("id").alias("o_custkey"), F.col("id").alias("o_orderkey"), F.when(F.col("id") % 500 == 0, "F").otherwise("O").alias("o_orderstatus"))
     orders.write.parquet(f"{tmp_path}/orders.parquet")
     assert reporting.bad_case_report(spark, str(tmp_path)).count() == 100_500 - 201
+
+
+def test_four_places_are_those_of_c(spark):
+    ratios = [k / n for n in (32, 160, 800, 2000, 4000, 20000, 977) for k in range(n)]
+    values = [*ratios, 0.99995, 0.99996, -0.03125, -0.0, 5e-324, 1e-5, 7.03125, 12345678.00005, 2.0**40 + 0.09375, 2.0**52 + 0.5, 1e18, None]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i long, v double").coalesce(1)
+    got = {r["i"]: r["cell"] for r in rows.select("i", report.formatted(F.col("v")).alias("cell")).collect()}
+    assert [got[i] for i in range(len(values))] == ["-" if v is None else f"{v:.4f}" for v in values]
+
+
+def test_sections_round_halves_as_sql_does(spark):
+    import duckdb
+
+    m = spark.createDataFrame([("m", [("d", str(k))], k / 160, 160) for k in range(160)], f"model string, path {PATH}, acc double, n long")
+    got = {(r["row"], r["cell"]) for r in report.other_sections(m).collect()}
+    assert got == set(duckdb.sql("SELECT k::VARCHAR, printf('%.4f', k / 160) FROM range(160) t(k)").fetchall())
