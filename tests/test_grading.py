@@ -95,6 +95,32 @@ def test_dedup_against_brute_force(spark):
     assert {r["id"]: r["of"] for r in found.collect()}[3] == 2
 
 
+def test_dedup_writes_no_grams(spark):
+    from pathlib import Path
+
+    from qaspark.operators.lineage import folder
+
+    dice = random.Random(6)
+    words = ["".join(dice.choice("abcdefgh") for _ in range(dice.randrange(2, 9))) for _ in range(900)]
+    texts = [" ".join(dice.choice(words) for _ in range(dice.choice((300, 340, 400)))) for _ in range(60)]
+    for t in texts[:40]:  # copies with 2 to 60 words changed lie on both sides of the threshold
+        w = t.split()
+        for at in dice.sample(range(len(w)), dice.randrange(2, 60)):
+            w[at] = dice.choice(words)
+        texts.append("  ".join(w))
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string").cache()
+    there = Path(folder(spark).removeprefix("file:"))
+    size = lambda: sum(p.stat().st_size for p in there.rglob("*.parquet") if p.is_file())
+    before = size()
+    _, _, pairs = D.near_pairs(rows, "id", "text", 0.85)
+    sets = [{u[i : i + 4] for i in range(len(u) - 3)} for u in (" ".join(t.split()) for t in texts)]
+    want = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.85}
+    assert {(r["a"], r["b"]) for r in pairs.collect()} == want and 5 < len(want) < 40
+    got = {r["id"]: r["kept"] for r in D.deduplicated(rows, "id", "text").collect()}
+    assert got == _kept(texts, 0.85)
+    assert size() - before < 2 * 3 * sum(map(len, sets))  # two runs; grams alone take 8 bytes each
+
+
 def test_calls(spark, tmp_path):
     tries = []
 
