@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blocks import NULL_ID, doc_bucket, doc_buckets, named_documents, packed_documents, text_bytes, window_bits
-from .common import in_batches, materialize
+from .common import in_batches, materialize, trimmed, trimmed_batches
 from .components import components, stars
 
 SHINGLE, PERCENT = 4, 85
@@ -42,6 +42,8 @@ LEAST_GROUPS, MOST_GROUPS, SPARSE = 32, 1 << 14, 8
 BOX, LEAF, SEARCHED = 32, 1024, 1 << 14
 #: Points of a band of sizes that each leaf of a large component is verified with.
 PIVOTS = 4
+#: Bytes of text, and shingles, that are hashed at one time: what a worker holds besides its results follows from these.
+PART_BYTES, PART_SHINGLES = 1 << 20, 1 << 17
 #: Coordinates of one block.
 BLOCK_GROUPS = 1 << 32
 #: Ways to cut points into blocks that are tried before a document goes to the block of those without.
@@ -54,6 +56,14 @@ _SALT = np.uint64(0xA0761D6478BD642F)
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of all rows, row by row in ascending order, and the len+1 offsets of the rows."""
+    parts = [_sets_of(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], shingle) for a, b in row_slices(offsets, PART_BYTES)]
+    if len(parts) < 2:
+        return parts[0] if parts else _sets_of(data, offsets, shingle)
+    sizes = np.concatenate([np.diff(first) for _, first in parts])
+    return np.concatenate([h for h, _ in parts]), np.concatenate([[0], np.cumsum(sizes)])
+
+
+def _sets_of(data: np.ndarray, offsets: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     from .common import window_hashes, word_hashes, word_spans
 
     low = data.copy()
@@ -110,6 +120,13 @@ def block_names(h: np.ndarray, first: np.ndarray, percent: int) -> tuple[np.ndar
     linked points differ in at most d blocks; if either has more than d blocks with counts, they share
     one. Rows that haven't are cut anew with the next seed; those that never have share a block by class.
     """
+    parts = [(a, _blocks_of(h[first[a] : first[b]], first[a : b + 1] - first[a], percent)) for a, b in row_slices(first, PART_SHINGLES)]
+    if not parts:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    return np.concatenate([rows + a for a, (rows, _) in parts]), np.concatenate([names for _, (_, names) in parts])
+
+
+def _blocks_of(h: np.ndarray, first: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     size = np.diff(first)
     own = size_class(np.maximum(size, 1))
     least = size_class(np.maximum(-(-size * percent // 100), 1))
@@ -296,7 +313,7 @@ def classes_of(named: DataFrame, shingle: int) -> DataFrame:
             at = [jaccard.point(h[a:b], jaccard.groups_for(b - a)).astype("<u2").tobytes() if b > a else b"" for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*map(pa.array, (ids, tags, node, check, size)), pa.array(at, pa.binary())], ["doc_id", "tag", "node", "check", "n", "point"])
 
-    return in_batches(named, measured, "doc_id long, tag long, node long, check long, n long, point binary")
+    return in_batches(named, trimmed_batches(measured), "doc_id long, tag long, node long, check long, n long, point binary")
 
 
 def shared_blocks(named: DataFrame, shingle: int, percent: int, bits: int) -> DataFrame:
@@ -344,7 +361,7 @@ def shared_blocks(named: DataFrame, shingle: int, percent: int, bits: int) -> Da
         keep[once] = True
         return pa.table({"shared": pa.array(np.repeat(shared[keep].view(np.int64), size[keep])), "node": pa.array(node[np.repeat(keep, size)])})
 
-    return in_batches(named, cut, "bucket int, block binary").groupBy("bucket").applyInArrow(meet, "shared long, node long").distinct()
+    return in_batches(named, trimmed_batches(cut), "bucket int, block binary").groupBy("bucket").applyInArrow(trimmed(meet), "shared long, node long").distinct()
 
 
 def candidate_links(shared: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -375,7 +392,7 @@ def candidate_links(shared: DataFrame, nodes: DataFrame, percent: int) -> DataFr
         return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
 
     dealt = shared.join(nodes.select("node", "n", "point"), "node").withColumn("task", F.pmod(F.xxhash64("shared"), F.lit(tasks)))
-    return dealt.groupBy("task").applyInArrow(searched, "a long, b long").distinct()
+    return dealt.groupBy("task").applyInArrow(trimmed(searched), "a long, b long").distinct()
 
 
 def taken(h: np.ndarray, first: np.ndarray, node: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -499,8 +516,11 @@ def verified_links(packed: DataFrame, placed: DataFrame, shingle: int, percent:
         pairs = pairs if every else stars(pairs)
         return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
 
-    blocks_ = placed.groupBy("doc_bucket").cogroup(packed.groupBy("doc_bucket")).applyInArrow(lambda w, t: sent(t, w), "unit string, block binary")
-    return blocks_.groupBy("unit").applyInArrow(resolved, "a long, b long")
+    def dealt(wanted, texts):
+        return trimmed(lambda t: sent(t, wanted))(texts)
+
+    blocks_ = placed.groupBy("doc_bucket").cogroup(packed.groupBy("doc_bucket")).applyInArrow(dealt, "unit string, block binary")
+    return blocks_.groupBy("unit").applyInArrow(trimmed(resolved), "a long, b long")
 
 
 def linked_nodes(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col: str, every: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -572,10 +592,10 @@ def join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col
     return out.select(clean(F.col("doc_id")).alias("doc_id"), "tag", F.col("n").alias("n_shingles"), clean(least["doc_id"]).alias("component_id"), (least == own).alias("is_first"), *more)
 
 
-def row_slices(offsets: np.ndarray):
+def row_slices(offsets: np.ndarray, limit: int = 4 << 20):
     from .common import row_slices as made
 
-    return made(offsets)
+    return made(offsets, limit)
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -638,3 +638,44 @@ def test_pipeline_recall_of_near_copies(spark):
     kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
     caught = sum(i % 5 in (1, 2, 3) and i not in kept for i, _ in rows)
     assert caught / (3 * groups) >= 0.99 and all(i in kept for i, _ in rows if i % 5 == 4)
+
+
+def test_workers_stay_small():
+    """A slice of 5 MB is hashed in parts with the same result, and what a task has freed does not stay in its worker."""
+    import tracemalloc
+
+    from qaspark.llm.common import trimmed, trimmed_batches
+
+    rnd = random.Random(33)
+    vocabulary = ["".join(rnd.choice("abcdEFGh") for _ in range(rnd.randrange(1, 9))) for _ in range(900)]
+    texts = ["", "one", *(" ".join(rnd.choices(vocabulary, k=rnd.choice([0, 2, 5, 40, 400, 9000]))) for _ in range(640)), "", ""]
+    offsets = np.cumsum([0, *map(len, texts)])
+    offsets = offsets[: np.searchsorted(offsets, 5 << 20)]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)[: offsets[-1]]
+    assert offsets[-1] > 4 << 20
+    def peak(function, *args):
+        tracemalloc.start()
+        out = function(*args)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return *out, most
+
+    h, first, some = peak(jaccard.shingle_sets, data, offsets, 5)
+    whole, starts, all_ = peak(jaccard._sets_of, data, offsets, 5)
+    assert (h == whole).all() and (first == starts).all() and some < 50e6 and some < all_ / 2
+    rows, names, some = peak(jaccard.block_names, h, first, 80)
+    rows_, names_, all_ = peak(jaccard._blocks_of, h, first, 80)
+    assert sorted(zip(rows.tolist(), names.tolist(), strict=True)) == sorted(zip(rows_.tolist(), names_.tolist(), strict=True)) and some < 0.75 * all_
+
+    held = lambda: int(open("/proc/self/statm").read().split()[1]) * 4096  # noqa: E731, SIM115
+    pins, most = [], []
+
+    def greedy(batches):
+        for _ in batches:
+            arrays = [np.ones(12_000) for _ in range(2_000)]  # below the size that malloc maps by itself
+            pins.append(arrays[-1])
+            most.append(held())
+        yield len(arrays)
+
+    assert list(trimmed_batches(greedy)(iter("a"))) == [2000] and held() < most[0] - 120e6
+    assert trimmed(lambda x: list(greedy(x)))("b") == [2000] and held() < most[1] - 120e6
