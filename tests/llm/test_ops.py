@@ -2,6 +2,7 @@ import base64
 import hashlib
 import math
 import random
+import sys
 import zlib
 
 import numpy as np
@@ -87,6 +88,54 @@ def test_webp_copies_and_ways():
     assert seen == set(range(len(webp.WAYS)))
 
 
+def test_webp_chains_of_codes():
+    """Chains followed side by side are those followed one by one: codes that meet soon, late or never, with and without stops."""
+    rng = np.random.default_rng(8)
+    sizes = ([3, 4, 5, 6, 9, 15], [1, 2], [5], [8], [14, 15], [2, 4, 6, 8], [1, 15])
+    for t in range(140):
+        n = int(rng.integers(1, 30_000))
+        step = np.zeros(n + webp.MOST_BITS, np.uint8)
+        step[:n] = rng.choice(sizes[t % 7], n)
+        step[:n][rng.random(n) < (0, 0.0002, 0.01)[t % 3]] = 0
+        begin, end = int(rng.integers(0, n)), int(rng.integers(n // 2, n + 1))
+        places, at = [], begin
+        while at < end and step[at]:
+            places.append(at)
+            at += int(step[at])
+        got, reached = webp.follow(step, np.arange(len(step)) + step, begin, end)
+        assert got.tolist() == places and reached == at, (t, n, begin, end)
+
+
+def test_webp_work_for_each_byte():
+    """Fewer lines of Python run while a text is stored and read than it has bytes."""
+    rnd = random.Random(2)
+    text = " ".join("".join(rnd.choice("eeeetttaaooinnshrdlucmfwygpbvk") for _ in range(rnd.randrange(2, 9))) for _ in range(7000)).encode()
+    payload, lines = webp.padded(text), 0
+
+    def traced(frame, event, _):
+        nonlocal lines
+        lines += event == "line"
+        return traced
+
+    before = sys.gettrace()
+    sys.settrace(traced)
+    try:
+        read = webp.read_samples(webp.store(payload))
+    finally:
+        sys.settrace(before)
+    assert read[3] == payload
+    assert lines < len(payload), lines
+
+
+def test_webp_copies_amid_literals():
+    """Many copies in one image, so that the chain of literals stops again and again, over several blocks of bits."""
+    rng = np.random.default_rng(9)
+    parts = [bytes([int(rng.integers(256))]) * int(rng.integers(8, 40)) if k % 2 else rng.integers(0, 256, int(rng.integers(1, 900)), dtype=np.uint8).tobytes() for k in range(700)]
+    payload = webp.padded(b"".join(parts) + rng.integers(0, 256, 200_000, dtype=np.uint8).tobytes())
+    assert 8 * len(payload) > 2 * webp.BLOCK_BITS
+    assert webp.read_samples(webp.store(payload))[3] == payload
+
+
 def test_webp_groups_of_codes():
     """An image with an entropy image: two groups of codes, written by hand bit by bit."""
     w = webp.Writer()
